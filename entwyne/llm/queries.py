@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwyne.llm import bpe, decontam, linedup, wavelet
+from entwyne.llm import bpe, decontam, linedup, quality, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -68,7 +72,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_line_bloom, op4_wu_manber, op10_bpe_matrix)}
+    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op10_bpe_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
