@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwyne.llm import bpe, decontam, linedup, quality, wavelet
+from entwyne.llm import bpe, decontam, linedup, neardup, quality, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle=3)
+
+
 def op10_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,7 +76,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op10_bpe_matrix)}
+    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op7_odd_sketch, op10_bpe_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
