@@ -13,8 +13,8 @@
 
 No step makes all pairs of a bucket, gathers a bucket in a task, or brings links or components to the driver.
 
-A link is missed only if its classes share no band key or differ in over ``SLACK`` samples: at similarity 0.85 both
-chances together are below one in a million.
+A link is missed only if its classes share no band key or differ in over ``slack`` samples: at similarity 0.8 the chance
+of either is one in seven million, at 0.85 one in three hundred million.
 
 Defined results: a text without words has an empty set, its own component and no links; fewer words than a shingle make
 one shingle of all; of rows that share a doc_id each gets the component of its own set; a row with a null doc_id is linked
@@ -24,6 +24,7 @@ not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -37,10 +38,8 @@ from pyspark.sql import types as T
 
 from entwyne.llm.common import keyed_text, materialise, raw_texts, slices
 
-BANDS, ROWS, SKETCH_BITS = 24, 5, 512
+BANDS, ROWS, SKETCH_BITS = 30, 4, 512
 SAMPLES = BANDS * ROWS
-#: Differing samples beyond which a pair is ruled out: at similarity 0.85, 18 of 120 are expected and over 44 come once in 10^9.
-SLACK = 44
 #: Classes of a bucket that are compared within one task.
 BLOCK = 1024
 #: Ids that go to all executors to thin a scan (8 bytes each); more are joined by shuffles.
@@ -103,6 +102,17 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def slack(percent: int) -> int:
+    """Differing samples beyond which a pair is ruled out: more come once in 10^9 at the least similarity to be found."""
+    q, tail, k = 1 - percent / 100, 0.0, SAMPLES
+    while k > 0:
+        tail += math.comb(SAMPLES, k) * q**k * (1 - q) ** (SAMPLES - k)
+        if tail > 1e-9:
+            return k
+        k -= 1
+    return SAMPLES
+
+
 def similarity_estimate(differing_bits: int) -> float:
     """Jaccard similarity from the population count of two sketches' XOR."""
     return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * differing_bits / SKETCH_BITS)))
@@ -147,7 +157,7 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     right = own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     differ = reduce(Column.__add__, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)])
     sized = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").where(sized & (differ <= 2 * SLACK)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(sized & (differ <= 2 * slack(percent))).select("a", "b").distinct()
 
 
 def _confirm(percent: int, shingle: int):
@@ -201,6 +211,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _compare(best: int, percent: int):
     """Within a block: each probe against all members of other components, by sketch; the closest per component."""
+    most = 2 * slack(percent)
 
     def run(batch: pa.Table) -> pa.Table:
         ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
@@ -214,7 +225,7 @@ def _compare(best: int, percent: int):
             if not len(j):
                 continue
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            close = far <= 2 * SLACK
+            close = far <= most
             j, far = j[close], far[close]
             order = np.argsort(far, kind="stable")
             j = j[order]
