@@ -16,7 +16,7 @@ rows with equal doc_id or text too; an empty table gives no rows; all columns of
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -62,11 +62,11 @@ def _places(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _sketch(slots: int, min_chars: int):
+def _sketch(slots: int, keys: Callable[[bytes | None], Iterable[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
         for batch in slices(batches, 1024):
-            hashes = [xxhash.xxh3_64_intdigest(k) for text in raw_texts(batch) for k in _keys(text, min_chars)]
+            hashes = [xxhash.xxh3_64_intdigest(k) for text in raw_texts(batch) for k in keys(text)]
             if not hashes:
                 continue
             values, counts = np.unique(np.array(hashes, dtype=np.uint64), return_counts=True)
@@ -100,9 +100,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v[1].tobytes() for v in held.values()], pa.binary())], ["seg", "twice"])
 
 
-def suspects(texts: DataFrame, slots: int, min_chars: int = 1) -> bytes:
-    """The merged second filter, packed: ``slots / 8`` bytes, however many lines there are."""
-    parts = texts.mapInArrow(_sketch(slots, min_chars), "seg int, once binary, twice binary")
+def slots_for(rows: int, per_row: int = SLOTS_PER_ROW) -> int:
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (per_row * max(1, rows) - 1).bit_length()))
+
+
+def suspects(texts: DataFrame, slots: int, keys: Callable[[bytes | None], Iterable[bytes]]) -> bytes:
+    """The merged second filter, packed: ``slots / 8`` bytes, however many keys there are. ``keys``: a text's distinct keys."""
+    parts = texts.mapInArrow(_sketch(slots, keys), "seg int, once binary, twice binary")
     merged = parts.repartition(max(1, min(16, slots // SEGMENT)), "seg").mapInArrow(_merge, "seg int, twice binary")
     step = min(SEGMENT, slots) // 8
     out = bytearray(slots // 8)
@@ -111,7 +115,7 @@ def suspects(texts: DataFrame, slots: int, min_chars: int = 1) -> bytes:
     return bytes(out)
 
 
-class _Suspected:
+class Suspected:
     def __init__(self, packed: bytes):
         self.slots, self.bits = len(packed) * 8, np.frombuffer(packed, np.uint8)
 
@@ -121,7 +125,7 @@ class _Suspected:
         return (hit(a) & hit(b)) > 0
 
 
-def _suspected_keys(batch: pa.RecordBatch, seen: _Suspected, min_chars: int) -> Iterator[tuple[int, bytes, int]]:
+def _suspected_keys(batch: pa.RecordBatch, seen: Suspected, min_chars: int) -> Iterator[tuple[int, bytes, int]]:
     """(row of the batch, key, hash) of distinct suspected keys of each row."""
     rows, keys = [], []
     for i, text in enumerate(raw_texts(batch)):
@@ -136,7 +140,7 @@ def _suspected_keys(batch: pa.RecordBatch, seen: _Suspected, min_chars: int) ->
 
 def _count(filter_, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sums, hashes = _Suspected(filter_.value), Counter(), {}
+        seen, sums, hashes = Suspected(filter_.value), Counter(), {}
 
         def out():
             rows = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([hashes[k] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())], ["digest", "hash", "n"])
@@ -161,9 +165,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     if slots is None:
-        rows = texts.count()
-        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_PER_ROW * max(1, rows) - 1).bit_length()))
-    filter_ = spark.sparkContext.broadcast(suspects(texts, slots, min_chars))
+        slots = slots_for(texts.count())
+    filter_ = spark.sparkContext.broadcast(suspects(texts, slots, lambda text: _keys(text, min_chars)))
     counted = texts.mapInArrow(_count(filter_, min_chars), "digest binary, hash long, n long")
     counted = counted.groupBy("digest", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
     return materialise(counted, "lines"), filter_
@@ -217,7 +220,7 @@ def _drop_by_join(docs, frequent, filter_, min_chars, id_col, text_col, keep_fir
     row_key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), text), 256)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Suspected(filter_.value)
+        seen = Suspected(filter_.value)
         for batch in slices(batches, 1024):
             found = list(_suspected_keys(batch, seen, min_chars))
             at = pa.array([i for i, _, _ in found], pa.int32())
