@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwyne.llm import bpe, chunkdup, decontam, linedup, neardup, quality, wavelet
+from entwyne.llm import bpe, chunkdup, decontam, linedup, neardup, quality, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkdup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,7 +84,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op7_odd_sketch, op8_gear_chunks, op10_bpe_matrix)}
+    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op7_odd_sketch, op8_gear_chunks, op9_fuzzy_lexicon, op10_bpe_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
