@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwyne.llm import bpe, chunkdup, decontam, html, linedup, neardup, quality, toxicity, wavelet
+from entwyne.llm import bpe, chunkdup, decontam, html, linedup, neardup, pii, quality, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, shingle=3)
 
@@ -88,7 +92,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op5_host_suffixes, op7_odd_sketch, op8_gear_chunks, op9_fuzzy_lexicon, op10_bpe_matrix)}
+    return {f.__name__: f for f in (op1_wavelet, op2_risk_rules, op3_line_bloom, op4_wu_manber, op5_host_suffixes, op6_disclosure, op7_odd_sketch, op8_gear_chunks, op9_fuzzy_lexicon, op10_bpe_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
