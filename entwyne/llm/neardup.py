@@ -99,7 +99,7 @@ def bands(sample: np.ndarray) -> np.ndarray:
 def odd_sketch(sample: np.ndarray) -> np.ndarray:
     place = (_mix(sample ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
     bits = np.bincount(place, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def slack(percent: int) -> int:
@@ -129,7 +129,7 @@ def _sign(shingle: int):
                     sample = samples(hashes)
                     digest.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                     keys.append(bands(sample))
-                    sketch.append(odd_sketch(sample))
+                    sketch.append(odd_sketch(sample).view(np.int64))
                 else:
                     digest.append(None)
                     keys.append(None)
@@ -216,7 +216,7 @@ def _compare(best: int, percent: int):
     def run(batch: pa.Table) -> pa.Table:
         ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
         probe, home = batch.column("probe").to_numpy(zero_copy_only=False), batch.column("home").to_numpy(zero_copy_only=False)
-        sketch = np.array(batch.column("sketch").to_pylist(), dtype=np.int64)
+        sketch = np.array(batch.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)  # bits of negative numbers are not counted as they are
         out: dict[tuple[int, int], bool] = {}
         targets = np.flatnonzero(home)
         for i in np.flatnonzero(probe).tolist():
