@@ -212,7 +212,7 @@ def is_abbreviation(a: Column, b: Column) -> Column:
 
 def id_set(value: Column) -> Column:
     """Distinct, trimmed, non-blank ids of a comma-separated list."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def f_beta(precision: Column, recall: Column, beta2: float = 0.25) -> Column:

@@ -19,7 +19,7 @@ def list_offences(lines: DataFrame, column: str, s1: DataFrame, known: DataFrame
     bad_head = numbered.where((F.col("at") == F.col("first")) & (F.rtrim("value") != f"source1_entity_id\t{column}"))
     body = numbered.where((F.col("at") != F.col("first")) & (F.trim("value") != ""))
     parts = F.split("value", "\t")
-    rows = body.where(F.size(parts) == 2).select(F.trim(F.get(parts, F.lit(0))).alias("id"), F.filter(F.transform(F.split(F.get(parts, F.lit(1)), ","), F.trim), lambda t: t != "").alias("ids"))
+    rows = body.where(F.size(parts) == 2).select(F.trim(F.get(parts, F.lit(0))).alias("id"), F.filter(F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda t: F.trim(t)), lambda t: t != "").alias("ids"))
     each = rows.select("id", F.explode("ids").alias("cand_id"))
     own = s1.select(F.col(s1.columns[0]).alias("id")).distinct()
     found = [
