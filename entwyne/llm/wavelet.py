@@ -14,8 +14,10 @@ one doc_id follow each other in order of their texts; an empty table gives no sh
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ MAGIC = b"EWM1"
 BLOCK_BITS = 1 << 17
 #: A shard is closed at the first document end after so many tokens.
 SHARD_TOKENS = 2_000_000
-#: Words whose ids a worker remembers between batches; it forgets all of them beyond that.
-CACHE_WORDS = 600_000
+#: Words of a generation of a worker's memory; about 200 bytes each, two generations at most.
+CACHE_WORDS = 800_000
 
 _HEAD = struct.Struct("<4sIQQI")
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, shard binary"
@@ -197,10 +199,13 @@ class WordEncoder:
     """Whole texts to ids, with a memory of words that a worker keeps between tasks.
 
     The byte-level pre-tokenizer never joins what stands on both sides of a U+0020 that a non-space character follows,
-    so a text may be cut there and equal pieces encoded once.
+    nor a letter with the full stop or comma behind it, so a text may be cut there and equal pieces encoded once.
     """
 
     _kept: dict[str, WordEncoder] = {}
+    _odd = re.compile(r" (?=\s|\Z)")
+    #: Words that are one piece whatever version of Unicode the pattern knows.
+    _plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -209,8 +214,15 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.n_bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.n_bits <= 16 else "<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.code = "H" if self.n_bits <= 16 else "I"
+        #: Words of this generation and of the one before; a word of the older one that is met again moves up.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops = {c: self._ask([c])[0] for c in ".,"}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -218,11 +230,11 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
+    @classmethod
+    def pieces(cls, text: str) -> list[str]:
         """The text cut at its spaces; all pieces but the first had one in front. A cut that would not be exact is undone."""
         cut = text.split(" ")
-        if any(not w or w[0].isspace() for w in cut[1:]):
+        if cls._odd.search(text):
             joined = [cut[0]]
             for w in cut[1:]:
                 if not w or w[0].isspace():
@@ -232,22 +244,52 @@ class WordEncoder:
             return joined
         return cut
 
+    def _ask(self, words: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for at in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of words with a space in front."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new, old, ask, stopped = self.new, self.old, set(), []
+        for w in words:
+            got = old.get(w)
+            if got is not None:
+                new[w] = got
+            elif len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
+                stopped.append(w)
+                stem = w[:-1]
+                if stem not in new:
+                    got = old.get(stem)
+                    if got is None:
+                        ask.add(stem)
+                    else:
+                        new[stem] = got
+            else:
+                ask.add(w)
+        # A word of plain letters is one piece, for which the vocabulary's model can be asked without the steps around it.
+        plain, code, alphabet, model = self._plain, self.code, self.alphabet, self.tokenizer.model
+        asked = []
+        for w in ask:
+            if plain(w):
+                new[w] = array(code, [t.id for t in model.tokenize((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                asked.append(w)
+        new.update(zip(asked, self._ask([" " + w for w in asked]), strict=True))
+        for w in stopped:
+            new[w] = new[w[:-1]] + self.stops[w[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of the shard's width."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first.clear()
-            self.later.clear()
         cut = [self.pieces(t) for t in texts]
-        later, first = self.later, self.first
-        new_later = list({w for p in cut for w in p[1:] if w not in later})
-        new_first = list({p[0] for p in cut if p[0] not in first})
-        for at in range(0, len(new_later), 4096):
-            part = new_later[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
-                later[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for w, e in zip(new_first, self.tokenizer.encode_batch_fast(new_first, add_special_tokens=False), strict=True):
-            first[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [first[p[0]] + b"".join([later[w] for w in p[1:]]) for p in cut]
+        heads = self._ask([c[0] for c in cut])
+        got = [list(map(self.new.get, c[1:])) for c in cut]
+        missing = {w for c, g in zip(cut, got, strict=True) if None in g for w, x in zip(c[1:], g, strict=True) if x is None}
+        if missing:
+            self.learn(missing)
+            known = self.new
+            got = [[known[w] if x is None else x for w, x in zip(c[1:], g, strict=True)] if None in g else g for c, g in zip(cut, got, strict=True)]
+        return [h + b"".join(g) for h, g in zip(heads, got, strict=True)]
 
 
 def _encode(path: str, end_id: int, shard_tokens: int):
