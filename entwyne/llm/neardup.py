@@ -1,20 +1,20 @@
 """Near-duplicate documents: MinHash bands find candidates, odd sketches screen them, whole shingle sets confirm.
 
 1. Each text gets its shingle set (runs of ``shingle`` words, A-Z lower-cased), a digest of the set, ``BANDS * ROWS``
-   MinHash samples folded into band keys, and an odd sketch: a bitmap in which sample i with value v toggles bit
-   h(i, v). Two sketches differ in at most two bits per differing sample, so the population count of their XOR bounds
-   the share of differing samples from below.
+   MinHash samples folded into band keys, and an odd sketch: of the hashes in each of ``BINS`` ranges the least is a
+   further MinHash sample, and sample i with value v toggles bit h(i, v) of a bitmap. A sample that two sets don't share
+   toggles one bit or two, so the population count of two sketches' XOR tells how many they don't share.
 2. Equal sets are one class, named by its smallest doc_id; only classes go on.
 3. In each bucket of a band the smallest class is the pivot and every other member is paired with it: as many pairs as
    members. Pairs that sketch and set sizes don't rule out are confirmed on whole sets; links make components.
 4. A bucket whose members are still in several components may hide links between members that are no pivot. Members
    outside its largest component are then compared, by sketch and within blocks of the bucket, with all others; the
-   closest few per component are confirmed first, more of them in later rounds, until none is left untested.
+   closest few per component are confirmed first, then all that the sketches allow.
 
 No step makes all pairs of a bucket, gathers a bucket in a task, or brings links or components to the driver.
 
-A link is missed only if its classes share no band key or differ in over ``slack`` samples: at similarity 0.8 the chance
-of either is one in seven million, at 0.85 one in three hundred million.
+A link is missed only if its classes share no band key (one in seven million at similarity 0.8, one in three hundred
+million at 0.85) or their sketches differ in over ``DEVIATIONS`` standard deviations more bits than expected.
 
 Defined results: a text without words has an empty set, its own component and no links; fewer words than a shingle make
 one shingle of all; of rows that share a doc_id each gets the component of its own set; a row with a null doc_id is linked
@@ -24,7 +24,6 @@ not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -38,8 +37,10 @@ from pyspark.sql import types as T
 
 from entwyne.llm.common import keyed_text, materialise, raw_texts, slices
 
-BANDS, ROWS, SKETCH_BITS = 30, 4, 512
+BANDS, ROWS = 30, 4
 SAMPLES = BANDS * ROWS
+BINS, SKETCH_BITS = 2048, 4096
+DEVIATIONS = 5.0
 #: Classes of a bucket that are compared within one task.
 BLOCK = 1024
 #: Ids that go to all executors to thin a scan (8 bytes each); more are joined by shuffles.
@@ -48,7 +49,6 @@ BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_SALT = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -96,26 +96,40 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    place = (_mix(sample ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """From sorted hashes: the first of each range is its sample."""
+    own = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    place = (_mix(hashes[first] ^ (own[first].astype(np.uint64) * _P[2])) % np.uint64(SKETCH_BITS)).astype(np.int64)
     bits = np.bincount(place, minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def slack(percent: int) -> int:
-    """Differing samples beyond which a pair is ruled out: more come once in 10^9 at the least similarity to be found."""
-    q, tail, k = 1 - percent / 100, 0.0, SAMPLES
-    while k > 0:
-        tail += math.comb(SAMPLES, k) * q**k * (1 - q) ** (SAMPLES - k)
-        if tail > 1e-9:
-            return k
-        k -= 1
-    return SAMPLES
+def _toggles(similarity: float, total, exp):
+    """Ranges with one hash of the union and with more, of sets whose sizes add up to ``total``."""
+    load = total / ((1 + similarity) * BINS)
+    alone = BINS * load * exp(-load)
+    return alone, BINS * (1 - exp(-load)) - alone
 
 
-def similarity_estimate(differing_bits: int) -> float:
-    """Jaccard similarity from the population count of two sketches' XOR."""
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * differing_bits / SKETCH_BITS)))
+def most_bits(percent: int, total, exp=np.exp, sqrt=np.sqrt):
+    """Bits in which sketches of sets this similar differ at most. Two samples that meet in a bit only make it fewer."""
+    q = 1 - percent / 100
+    alone, several = _toggles(percent / 100, total, exp)
+    # Samples that are alone in their range are drawn without replacement: the more of the union they are, the less they vary.
+    spread = alone * (1 - alone * (1 + percent / 100) / total) + 4 * several
+    return q * (alone + 2 * several) + DEVIATIONS * sqrt(q * (1 - q) * spread) + 1
+
+
+def similarity_estimate(differing_bits: int, total: int) -> float:
+    """Jaccard similarity from the population count of two sketches' XOR, for sets whose sizes add up to ``total``."""
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        alone, several = _toggles(mid, total, np.exp)
+        expected = SKETCH_BITS / 2 * (1 - np.exp(-2 * (1 - mid) * (alone + 2 * several) / SKETCH_BITS))
+        low, high = (mid, high) if expected > differing_bits else (low, mid)
+    return low
 
 
 def _sign(shingle: int):
@@ -129,7 +143,7 @@ def _sign(shingle: int):
                     sample = samples(hashes)
                     digest.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                     keys.append(bands(sample))
-                    sketch.append(odd_sketch(sample).view(np.int64))
+                    sketch.append(odd_sketch(hashes).view(np.int64))
                 else:
                     digest.append(None)
                     keys.append(None)
@@ -157,7 +171,7 @@ def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     right = own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     differ = reduce(Column.__add__, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)])
     sized = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").where(sized & (differ <= 2 * slack(percent))).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(sized & (differ <= most_bits(percent, F.col("na") + F.col("nb"), F.exp, F.sqrt))).select("a", "b").distinct()
 
 
 def _confirm(percent: int, shingle: int):
@@ -211,12 +225,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def _compare(best: int, percent: int):
     """Within a block: each probe against all members of other components, by sketch; the closest per component."""
-    most = 2 * slack(percent)
 
     def run(batch: pa.Table) -> pa.Table:
         ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
         probe, home = batch.column("probe").to_numpy(zero_copy_only=False), batch.column("home").to_numpy(zero_copy_only=False)
-        sketch = np.array(batch.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)  # bits of negative numbers are not counted as they are
+        sketch = batch.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)  # bits of negative numbers are not counted as they are
         out: dict[tuple[int, int], bool] = {}
         targets = np.flatnonzero(home)
         for i in np.flatnonzero(probe).tolist():
@@ -225,7 +238,7 @@ def _compare(best: int, percent: int):
             if not len(j):
                 continue
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            close = far <= most
+            close = far <= most_bits(percent, n[j] + n[i])
             j, far = j[close], far[close]
             order = np.argsort(far, kind="stable")
             j = j[order]
@@ -272,7 +285,7 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 3) -> tuple[DataFram
     links = materialise(_confirmed(tested, docs, percent, shingle), "links")
     comps = materialise(components(links), "comps")
     wide = buckets.where("size > 2").select("key", "id")
-    best = 4
+    best = 4  # once the closest are tested, all others of what is still apart are
     while True:
         found = materialise(_hidden(wide, comps, reps, percent, best), "hidden")
         fresh = materialise(found.where("not more").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -284,7 +297,7 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 3) -> tuple[DataFram
                 comps = materialise(components(links), "comps")
         if found.where("more").isEmpty():
             break
-        best *= 16
+        best = 1 << 40
     own = reps.select("digest", "id").join(comps, "id", "left")
     return signed, own.select("digest", F.coalesce("component", "id").alias("component_id"))
 

@@ -228,9 +228,9 @@ def test_odd_sketch_estimates():
     for share in (0.95, 0.8):
         b = list(a)
         b[int(400 * share) :] = [f"w{rnd.random()}".encode() for _ in range(400 - int(400 * share))]
-        one, two = (neardup.odd_sketch(neardup.samples(neardup.shingle_hashes(x, 1))) for x in (a, b))
+        one, two = (neardup.odd_sketch(neardup.shingle_hashes(x, 1)) for x in (a, b))
         real = len(set(a) & set(b)) / len(set(a) | set(b))
-        assert abs(neardup.similarity_estimate(int(np.bitwise_count(one ^ two).sum())) - real) < 0.12
+        assert abs(neardup.similarity_estimate(int(np.bitwise_count(one ^ two).sum()), len(a) + len(b)) - real) < 0.12
 
 
 def test_repeats(spark, nothing):
