@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MATRIX_BYTES = 256
-#: Words whose ids a worker remembers between batches; it forgets all of them beyond that.
-CACHE_WORDS = 400_000
+#: Words of a generation of a worker's memory; about 350 bytes each, two generations at most.
+CACHE_WORDS = 120_000
 _NONE = np.int32(2**31 - 1)
 
 #: The white space that the pattern means by \s: Unicode's White_Space.
@@ -70,15 +71,22 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {r: b for b, r in ranks.items()}
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([c])] for c in range(256)], dtype=np.int32)
-        pairs = {}
+        self.table = PairTable(self._pairs())
+        self._by_pair: dict[tuple[int, int], int] | None = None
+
+    def _pairs(self) -> dict[tuple[int, int], int]:
+        """Rank by (left id, right id) of every way to cut a token into two tokens."""
+        ranks, pairs = self.ranks, {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pairs, self.table = pairs, PairTable(pairs)
+        return pairs
 
     @classmethod
     def read(cls, path: str) -> BytePairs:
@@ -140,7 +148,9 @@ class BytePairs:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        pairs = self.pairs
+        if self._by_pair is None:  # only long pieces need it
+            self._by_pair = self._pairs()
+        pairs = self._by_pair
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
@@ -168,13 +178,16 @@ class TextCoder:
     """
 
     _kept: dict[tuple[str, str], TextCoder] = {}
+    _odd = re.compile(r" (?=\s|\Z)")
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.pairs = BytePairs.read(path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
+        #: Words of this generation and of the one before; a word of the older one that is met again moves up.
         self.words: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[bytes, int, bytes]] = {}
 
     @classmethod
     def at(cls, path: str, pattern: str) -> TextCoder:
@@ -182,10 +195,10 @@ class TextCoder:
             cls._kept[path, pattern] = cls(path, pattern)
         return cls._kept[path, pattern]
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    @classmethod
+    def cut(cls, text: str) -> list[str]:
         parts = text.split(" ")
-        if any(not w or w[0].isspace() for w in parts[1:]):
+        if cls._odd.search(text):
             out = [parts[0]]
             for w in parts[1:]:
                 if not w or w[0].isspace():
@@ -206,10 +219,16 @@ class TextCoder:
 
     def look_up(self, texts: list[str]) -> list[list[tuple[bytes, int, bytes]]]:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         cut = [self.cut(t) for t in texts]
-        known = self.words
-        self.learn(list({w for c in cut for w in c if w not in known}))
+        known, older, new = self.words, self.older, []
+        for w in {w for c in cut for w in c if w not in known}:
+            got = older.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                known[w] = got
+        self.learn(new)
         return [[known[w] for w in c] for c in cut]
 
     def encode(self, text: str) -> list[int]:
