@@ -2,19 +2,23 @@
 
 1. A page becomes blocks: text between block-level tags, each with the path of its enclosing elements. Character
    references are decoded, white space runs become one space; scripts, styles, comments and markup are no text.
-2. The words of all blocks of a group of pages of one host are put one page after the other, with a mark of its own
-   between pages, and their suffixes are sorted by prefix doubling to a depth of ``DEPTH`` words. Neighbours that agree
-   so far and come from enough distinct pages cover their words: the union of these is every substring of that length or
-   more that the pages share.
-3. A path most of whose words in the group are covered is template (menus, notices, adverts, footers): covered runs on it
-   are removed, unique runs stay. Paths inside an article or main element are content whatever they share, since copies
-   of an article and quotations are no boilerplate.
-4. Elements that are no article by their meaning (nav, footer, aside, form, ...; classes and roles that say so) are left
+2. The words of all blocks of the pages of one host are put one page after the other, with a mark of its own between
+   pages, and their suffixes are sorted by prefix doubling to a depth of ``DEPTH`` words. Neighbours that agree so far and
+   come from enough distinct pages cover their words: the union of these is every substring of that length or more that
+   the pages share.
+3. Outside an article or main element, a path most of whose words on the host are covered is template (menus, notices,
+   adverts, footers): covered runs on it are removed, unique runs stay.
+4. Inside an article or main element, copies of an article and quotations are no boilerplate. A substring counts there by
+   the distinct texts it stands in, told by the heads of the three longest other blocks of the page, so that copies count
+   once; and only where such substrings cover nearly all of a block are they removed.
+5. Elements that are no article by their meaning (nav, footer, aside, form, ...; classes and roles that say so) are left
    out; where a page has an article or main element, so is what stands outside it. This also serves hosts with too few
    pages to compare.
 
-Groups hold about ``GROUP_PAGES`` pages: a larger host is dealt by a digest of the page into as many groups as it needs.
-Template text is on a share of a host's pages, so it shows in each group; every page is processed whole.
+A host of over ``GROUP_PAGES`` pages is not sorted in one task: its substrings of ``DEPTH`` words go by 64-bit digests. A
+Bloom filter marks those that occur twice at all, these are counted exactly over the whole host, and a second count gives
+the coverage of its paths. The bounds are the same numbers of pages for every host of that size; every page is processed
+whole.
 
 Defined results: null and empty html give the empty text and no characters; a null url belongs to a host of its own; of
 repeated rows each gets its text (they count as one page where substrings are compared); an empty table gives no rows;
@@ -26,15 +30,24 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entwyne.llm.common import materialise
+from entwyne.llm.linedup import Suspected, slots_for, suspects
+
 GROUP_PAGES, DEPTH = 128, 8
-#: Distinct pages, and share of the group's pages, that must hold a substring.
-LEAST_PAGES, LEAST_SHARE, TEMPLATE_SHARE = 3, 0.1, 0.5
+#: Distinct pages that must hold a substring; share of a path's words that makes it template.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Distinct texts (half of the pages on a smaller host) that must hold a substring of content; share of a block it must cover.
+CONTENT_PAGES, CONTENT_SHARE, HEAD = 8, 0.8, 6
+#: Boilerplate substrings of large hosts held at a time (8 bytes each); with more, hosts are taken in several turns.
+BROADCAST_WINDOWS, SLOTS_PER_PAGE = 2_000_000, 1024
 #: Hosts of several groups that are sent to all executors (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -153,30 +166,76 @@ def suffix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def shared(ids: np.ndarray, page: np.ndarray, least: int, depth: int = DEPTH) -> np.ndarray:
-    """Which tokens lie in a substring of ``depth`` tokens or more that ``least`` distinct pages hold.
+def _cover(rank: np.ndarray, label: np.ndarray, least: int, depth: int) -> np.ndarray:
+    """Which tokens lie in a prefix that ``least`` distinct labels hold; negative labels don't count."""
+    n = len(rank)
+    order = np.lexsort((label, rank))
+    r, p = rank[order], label[order]
+    first = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]) & (p >= 0)
+    holders = np.bincount(r, weights=first, minlength=int(r[-1]) + 1)
+    return _spread(holders[rank] >= least, n, depth)
 
-    ``ids`` has a negative number of its own after each page, so that no substring reaches into the next.
-    """
-    n = len(ids)
-    covered = np.zeros(n, bool)
-    if n < depth:
-        return covered
-    rank = suffix_ranks(ids, depth)
-    order = np.lexsort((page, rank))
-    r, p = rank[order], page[order]
-    first = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
-    pages = np.bincount(r, weights=first, minlength=int(r[-1]) + 1)
+
+def _spread(starts: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
     whole = np.zeros(n + 1, np.int64)
-    start = np.flatnonzero(pages[rank] >= least)
+    start = np.flatnonzero(starts)
     start = start[start + depth <= n]
     np.add.at(whole, start, 1)
     np.add.at(whole, start + depth, -1)
     return np.cumsum(whole)[:n] > 0
 
 
+def shared(ids: np.ndarray, page: np.ndarray, least: int, depth: int = DEPTH) -> np.ndarray:
+    """Which tokens lie in a substring of ``depth`` tokens or more that ``least`` distinct pages hold.
+
+    ``ids`` has a negative number of its own after each page, so that no substring reaches into the next.
+    """
+    return _cover(suffix_ranks(ids, depth), page, least, depth) if len(ids) >= depth else np.zeros(len(ids), bool)
+
+
+def around(own: list[Block]) -> np.ndarray:
+    """Per word three digests that tell its text from others (heads of the longest other content blocks); -1 for none."""
+    heads = sorted((-len(b.words), k, xxhash.xxh3_64_intdigest(" ".join(b.words[:HEAD])) >> 1) for k, b in enumerate(own) if b.content and not b.no_content)[:4]
+    out = np.full((3, sum(len(b.words) for b in own)), -1, np.int64)
+    at = 0
+    for k, b in enumerate(own):
+        if b.content and not b.no_content:
+            for j, h in enumerate([h for _, i, h in heads if i != k][:3]):
+                out[j, at : at + len(b.words)] = h
+        at += len(b.words)
+    return out
+
+
+def _rows(own: list[Block], mark: np.ndarray) -> list[np.ndarray]:
+    return np.split(mark, np.cumsum([len(b.words) for b in own])[:-1]) if own else []
+
+
+def _count_paths(own: list[Block], covered: np.ndarray, hit: dict, total: dict, key=lambda path: path) -> None:
+    for b, row in zip(own, _rows(own, covered), strict=True):
+        if not b.content:
+            total[key(b.path)] += len(b.words)
+            hit[key(b.path)] += int(row.sum())
+
+
+def _text(own: list[Block], covered: np.ndarray, inside: np.ndarray, is_template) -> str:
+    """The text of a page from its words covered by any pages and by distinct texts."""
+    has_content = any(b.content and not b.no_content for b in own)
+    lines = []
+    for b, mark, common in zip(own, _rows(own, covered), _rows(own, inside), strict=True):
+        if b.no_content or (has_content and not b.content):
+            continue
+        if b.content:
+            gone = common if common.sum() >= CONTENT_SHARE * len(b.words) else None
+        else:
+            gone = mark if is_template(b.path) else None
+        words = b.words if gone is None else [w for w, c in zip(b.words, gone.tolist(), strict=True) if not c]
+        if words:
+            lines.append(" ".join(words))
+    return "\n".join(lines)
+
+
 def extract(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
+    """Main texts of all pages of one host."""
     own = [blocks(p) for p in pages]
     vocabulary: dict[str, int] = {}
     ids: list[int] = []
@@ -188,49 +247,154 @@ def extract(pages: list[str | None]) -> list[str]:
             ids += [vocabulary.setdefault(w, len(vocabulary)) for w in b.words]
         ids.append(-1 - k)
         page += [number] * (len(ids) - len(page))
-    least = max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(same))))
-    covered = shared(np.array(ids, np.int64), np.array(page, np.int64), least) if len(same) >= LEAST_PAGES else np.zeros(len(ids), bool)
+    n = len(ids)
+    covered, inside = np.zeros(n, bool), np.zeros(n, bool)
+    if len(same) >= LEAST_PAGES and n >= DEPTH:
+        rank = suffix_ranks(np.array(ids, np.int64), DEPTH)
+        covered = _cover(rank, np.array(page, np.int64), LEAST_PAGES, DEPTH)
+        least = min(CONTENT_PAGES, max(LEAST_PAGES, -(-len(same) // 2)))
+        for label in np.concatenate([np.pad(around(bs), ((0, 0), (0, 1)), constant_values=-1) for bs in own], axis=1):
+            inside |= _cover(rank, label, least, DEPTH)
     places, at = [], 0
     hit, total = defaultdict(int), defaultdict(int)
     for bs in own:
-        row = []
-        for b in bs:
-            row.append(covered[at : at + len(b.words)])
-            at += len(b.words)
-            if not b.content:
-                total[b.path] += len(b.words)
-                hit[b.path] += int(row[-1].sum())
-        at += 1
-        places.append(row)
+        size = sum(len(b.words) for b in bs)
+        places.append((covered[at : at + size], inside[at : at + size]))
+        _count_paths(bs, places[-1][0], hit, total)
+        at += size + 1
     template = {p for p in total if hit[p] >= TEMPLATE_SHARE * total[p]}
-    out = []
-    for bs, row in zip(own, places, strict=True):
-        has_content = any(b.content and not b.no_content for b in bs)
-        lines = []
-        for b, mark in zip(bs, row, strict=True):
-            words = b.words
-            if not b.content and b.path in template:
-                words = [w for w, c in zip(words, mark.tolist(), strict=True) if not c]
-            if b.no_content or (has_content and not b.content):
-                continue
-            if words:
-                lines.append(" ".join(words))
-        out.append("\n".join(lines))
+    return [_text(bs, *marks, template.__contains__) for bs, marks in zip(own, places, strict=True)]
+
+
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(DEPTH)], np.uint64)
+
+
+def digests(own: list[Block], host: int) -> np.ndarray:
+    """64-bit digests of the page's substrings of ``DEPTH`` words, by place; the host is part of them."""
+    words = np.array([xxhash.xxh3_64_intdigest(w) for b in own for w in b.words], np.uint64)
+    n = len(words) - DEPTH + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h = np.full(n, host & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for j in range(DEPTH):
+        h += words[j : j + n] * _FACTORS[j]
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _keys(text: bytes | None) -> set[bytes]:
+    host, _, page = (text or b"0:").partition(b":")
+    raw = np.unique(digests(blocks(page.decode()), int(host))).tobytes()
+    return {raw[i : i + 8] for i in range(0, len(raw), 8)}
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with (host, html, blocks, digests) of their rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            rows = []
+            for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                own = blocks(html)
+                rows.append((host, html or "", own, digests(own, host)))
+            yield part, rows
+
+
+def _occurrences(filter_):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Suspected(filter_.value)
+        for _, rows in _pages(batches):
+            out = [np.zeros((6, 0), np.int64)]
+            for host, html, own, w in rows:
+                raw = w.tobytes()
+                hit = np.flatnonzero(seen(np.fromiter((xxhash.xxh3_64_intdigest(raw[i : i + 8]) for i in range(0, len(raw), 8)), np.uint64, len(w)))) if len(w) else []
+                if not len(hit):
+                    continue
+                labels = around(own)[:, hit]
+                order = np.argsort(labels[0] < 0, kind="stable")
+                order = order[np.unique(w[hit][order], return_index=True)[1]]
+                fixed = np.array([[host], [xxhash.xxh3_64_intdigest(html) >> 1]], np.int64).repeat(len(order), axis=1)
+                out.append(np.concatenate([fixed, w[hit][order][None], labels[:, order]]))
+            host, page, w, *labels = np.concatenate(out, axis=1)
+            cols = [pa.array(host), pa.array(w), pa.array(page), *[pa.array(x, mask=x < 0) for x in labels]]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "w", "page", "a", "b", "c"])
+
+    return run
+
+
+def _marks(own: list[Block], w: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Words covered by any pages, and by distinct texts; ``known``: sorted digests of both."""
+    n, out = sum(len(b.words) for b in own), []
+    for k in known:
+        at = np.searchsorted(k, w)
+        out.append(_spread(k[np.minimum(at, len(k) - 1)] == w if len(k) else np.zeros(len(w), bool), n))
     return out
 
 
+def _path_key(host: int, path: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host}{path}") >> 1
+
+
+def _paths(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _pages(batches):
+            hit, total = defaultdict(int), defaultdict(int)
+            for host, _, own, w in rows:
+                _count_paths(own, _marks(own, w, known.value)[0], hit, total, lambda path, host=host: _path_key(host, path))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(hit.values()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["path", "hit", "total"])
+
+    return run
+
+
+def _texts(known, template):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _pages(batches):
+            texts = [_text(own, *_marks(own, w, known.value), lambda path, host=host: _path_key(host, path) in template.value) for host, _, own, w in rows]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def _large_hosts(rows: DataFrame, n_pages: int, windows: int) -> Iterator[DataFrame]:
+    """Main texts of the pages of large hosts, in one turn or more."""
+    context = rows.sparkSession.sparkContext
+    named = rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"))
+    text = F.concat(F.col("host").cast("string"), F.lit(":"), F.coalesce("html", F.lit(""))).alias("text")
+    filter_ = context.broadcast(suspects(named.select(text), slots_for(n_pages, SLOTS_PER_PAGE), _keys))
+    met = named.mapInArrow(_occurrences(filter_), "host long, w long, page long, a long, b long, c long")
+    texts = F.greatest(*[F.count_distinct(c) for c in "abc"])
+    counted = met.groupBy("host", "w").agg((F.count_distinct("page") >= LEAST_PAGES).alias("any"), (texts >= CONTENT_PAGES).alias("inside"))
+    counted = materialise(counted.where(F.col("any") | F.col("inside")), "windows")
+    turns = max(1, -(-counted.count() // windows))
+    turn = F.pmod(F.xxhash64("host"), F.lit(turns))
+    for k in range(turns):
+        found = counted.where(turn == k).select("w", "any", "inside").toArrow()
+        w = found.column("w").to_numpy()
+        known = context.broadcast(tuple(np.sort(w[found.column(c).to_numpy()]) for c in ("any", "inside")))
+        own = named.where(turn == k)
+        covered = own.mapInArrow(_paths(known), "path long, hit long, total long").groupBy("path").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total"))
+        template = context.broadcast({r.path for r in covered.where(F.col("hit") >= TEMPLATE_SHARE * F.col("total")).collect()})
+        yield own.mapInArrow(_texts(known, template), _RESULT)
+
+
+_RESULT = "page_id long, url string, text string, n_chars long"
+
+
 def _group(table: pa.Table) -> pa.Table:
     texts = extract(table.column("html").to_pylist())
     return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES, broadcast_hosts: int = BROADCAST_HOSTS, windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pages)
-    sizes = sizes.select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups")).persist()
-    small = sizes.count() <= broadcast_hosts
-    dealt = rows.join(F.broadcast(sizes) if small else sizes, "host", "left")
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int")
-    return dealt.select("page_id", "url", "html", "host", part.alias("part")).groupBy("host", "part").applyInArrow(_group, "page_id long, url string, text string, n_chars long")
+    sizes = sizes.persist()
+    n_hosts, n_pages = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    large = F.broadcast(sizes.select("host")) if n_hosts <= broadcast_hosts else sizes.select("host")
+    out = (rows.join(large, "host", "left_anti") if n_hosts else rows).select("page_id", "url", "html", "host").groupBy("host").applyInArrow(_group, _RESULT)
+    for own in _large_hosts(rows.join(large, "host", "left_semi"), n_pages, windows) if n_hosts else ():
+        out = out.unionByName(own)
+    return out

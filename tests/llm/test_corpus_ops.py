@@ -490,3 +490,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         own = stage(spark, own, str(tmp_path))
         assert own.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in own.collect())
+
+
+def _article_pages(n):
+    """Distinct articles with a notice in each eighth of them; copies of one story; a quotation in few."""
+    rnd = random.Random(21)
+    notice = "Read all about our new reader offer today and save a lot"
+    story = [words_text(rnd, 30) for _ in range(3)]
+    quote = "it was the best of times it was the worst of times"
+    rows, want = [], []
+    for i in range(n):
+        own = story if i % 10 == 9 else [words_text(rnd, 30), words_text(rnd, 20)]
+        body = own + ([quote] if i % 64 == 1 else [])
+        rows.append((i, "https://host.example/a", "<article>" + "".join(f"<p>{p}</p>" for p in [*body[:1], *([notice] if i % 8 == 0 else []), *body[1:]]) + "</article>"))
+        want.append((i, "\n".join(body)))
+    return rows, want
+
+
+@pytest.mark.parametrize(("n", "kw"), [(100, {}), (240, {}), (240, {"windows": 5})])
+def test_boilerplate_inside_articles(spark, n, kw):
+    rows, want = _article_pages(n)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html.main_text(df, **kw).collect()) == want
