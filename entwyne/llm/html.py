@@ -16,9 +16,9 @@
    pages to compare.
 
 A host of over ``GROUP_PAGES`` pages is not sorted in one task: its substrings of ``DEPTH`` words go by 64-bit digests. A
-Bloom filter marks those that occur twice at all, these are counted exactly over the whole host, and a second count gives
-the coverage of its paths. The bounds are the same numbers of pages for every host of that size; every page is processed
-whole.
+counting filter leaves out those that are on fewer than ``CONTENT_PAGES`` pages for certain, the others are counted exactly
+over the whole host, and a second count gives the coverage of its paths. ``CONTENT_PAGES`` is the bound for every such
+host, inside of content and outside; every page is processed whole.
 
 Defined results: null and empty html give the empty text and no characters; a null url belongs to a host of its own; of
 repeated rows each gets its text (they count as one page where substrings are compared); an empty table gives no rows;
@@ -35,14 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entwyne.llm.common import materialise
-from entwyne.llm.linedup import Suspected, slots_for, suspects
+from entwyne.llm.linedup import SEGMENT, Suspected, _places, slots_for
 
 GROUP_PAGES, DEPTH = 128, 8
-#: Distinct pages that must hold a substring; share of a path's words that makes it template.
+#: Distinct pages that must hold a substring on a smaller host; share of a path's words that makes it template.
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
 #: Distinct texts (half of the pages on a smaller host) that must hold a substring of content; share of a block it must cover.
 CONTENT_PAGES, CONTENT_SHARE, HEAD = 8, 0.8, 6
@@ -283,12 +284,6 @@ def digests(own: list[Block], host: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _keys(text: bytes | None) -> set[bytes]:
-    host, _, page = (text or b"0:").partition(b":")
-    raw = np.unique(digests(blocks(page.decode()), int(host))).tobytes()
-    return {raw[i : i + 8] for i in range(0, len(raw), 8)}
-
-
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches with (host, html, blocks, digests) of their rows."""
     for batch in batches:
@@ -301,14 +296,52 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, rows
 
 
+def _add(tally: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
+    for place in _places(w.view(np.uint64), len(tally)):
+        at, back = np.unique(place, return_inverse=True)
+        tally[at] = np.minimum(tally[at] + np.bincount(back, weights=counts), CONTENT_PAGES)
+
+
+def _tally(slots: int):
+    """Saturating counts of pages by place of their substrings' digests: never too low, so what stays below is rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, packer = np.zeros(slots, np.uint8), zstandard.ZstdCompressor(level=1)
+        for _, rows in _pages(batches):
+            _add(tally, *np.unique(np.concatenate([np.unique(r[3]) for r in rows]), return_counts=True))
+        step = min(SEGMENT, slots)
+        segs = [at // step for at in range(0, slots, step) if tally[at : at + step].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), pa.array([packer.compress(tally[s * step : (s + 1) * step].tobytes()) for s in segs], pa.binary())], ["seg", "n"])
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opener, held = zstandard.ZstdDecompressor(), {}
+    for batch in batches:
+        for seg, n in zip(batch.column(0), batch.column(1), strict=True):
+            own = np.frombuffer(opener.decompress(n.as_py()), np.uint8)
+            held[seg.as_py()] = np.minimum(held[seg.as_py()] + own, CONTENT_PAGES) if seg.as_py() in held else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v >= CONTENT_PAGES).tobytes() for v in held.values()], pa.binary())], ["seg", "many"])
+
+
+def _frequent(pages: DataFrame, slots: int) -> bytes:
+    """Packed filter of the digests that may be on ``CONTENT_PAGES`` pages."""
+    parts = pages.mapInArrow(_tally(slots), "seg int, n binary")
+    step = min(SEGMENT, slots) // 8
+    out = bytearray(slots // 8)
+    for row in parts.repartition(max(1, min(16, slots // SEGMENT)), "seg").mapInArrow(_merge, "seg int, many binary").toLocalIterator():
+        out[row.seg * step : (row.seg + 1) * step] = row.many
+    return bytes(out)
+
+
 def _occurrences(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Suspected(filter_.value)
         for _, rows in _pages(batches):
             out = [np.zeros((6, 0), np.int64)]
             for host, html, own, w in rows:
-                raw = w.tobytes()
-                hit = np.flatnonzero(seen(np.fromiter((xxhash.xxh3_64_intdigest(raw[i : i + 8]) for i in range(0, len(raw), 8)), np.uint64, len(w)))) if len(w) else []
+                hit = np.flatnonzero(seen(w.view(np.uint64)))
                 if not len(hit):
                     continue
                 labels = around(own)[:, hit]
@@ -360,11 +393,10 @@ def _large_hosts(rows: DataFrame, n_pages: int, windows: int) -> Iterator[DataFr
     """Main texts of the pages of large hosts, in one turn or more."""
     context = rows.sparkSession.sparkContext
     named = rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"))
-    text = F.concat(F.col("host").cast("string"), F.lit(":"), F.coalesce("html", F.lit(""))).alias("text")
-    filter_ = context.broadcast(suspects(named.select(text), slots_for(n_pages, SLOTS_PER_PAGE), _keys))
+    filter_ = context.broadcast(_frequent(named, slots_for(n_pages, SLOTS_PER_PAGE)))
     met = named.mapInArrow(_occurrences(filter_), "host long, w long, page long, a long, b long, c long")
     texts = F.greatest(*[F.count_distinct(c) for c in "abc"])
-    counted = met.groupBy("host", "w").agg((F.count_distinct("page") >= LEAST_PAGES).alias("any"), (texts >= CONTENT_PAGES).alias("inside"))
+    counted = met.groupBy("host", "w").agg((F.count_distinct("page") >= CONTENT_PAGES).alias("any"), (texts >= CONTENT_PAGES).alias("inside"))
     counted = materialise(counted.where(F.col("any") | F.col("inside")), "windows")
     turns = max(1, -(-counted.count() // windows))
     turn = F.pmod(F.xxhash64("host"), F.lit(turns))

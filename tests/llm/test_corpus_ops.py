@@ -512,3 +512,12 @@ def test_boilerplate_inside_articles(spark, n, kw):
     rows, want = _article_pages(n)
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted((r.page_id, r.text) for r in html.main_text(df, **kw).collect()) == want
+
+
+def test_template_on_a_small_share_of_a_large_host(spark):
+    rnd = random.Random(23)
+    teaser = "<div class='x7'>this month our readers chose the following ten stories</div>"
+    bodies = [words_text(rnd, 25) for _ in range(400)]
+    rows = [(i, "https://host.example/a", (teaser if i % 20 == 0 else "") + f"<p>{b}</p>") for i, b in enumerate(bodies)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == list(enumerate(bodies))
