@@ -90,6 +90,12 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, str]] = []  # tag, inside content, no content, path
     held: list[str] = []
+    is_open: dict[str, int] = defaultdict(int)
+
+    def close(i: int):
+        for gone in stack[i:]:
+            is_open[gone[0]] -= 1
+        del stack[i:]
 
     def flush():
         if held:
@@ -114,9 +120,9 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if is_open[tag] else ():
                     if stack[i][0] == tag:
-                        del stack[i:]
+                        close(i)
                         break
             continue
         if tag in _RAW:
@@ -138,19 +144,19 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _SELF_CLOSING:
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in _SELF_CLOSING:
                     break
         elif stack and stack[-1][0] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         _, content, none, path = stack[-1] if stack else ("", False, False, "")
         if tag in _CONTENT and not content:
             content, none = True, False  # an element left open in front of it doesn't swallow the article
         none = none or tag in _NO_CONTENT or (tag == "header" and not content) or bool(m[3] and _says_no_content(m[3]))
         css = re.search(r"class\s*=\s*[\"']?([\w-]+)", m[3]) if m[3] else None
-        if len(stack) < 200:
-            stack.append((tag, content, none, f"{path}/{tag}" + (f".{css[1]}" if css else "") if len(path) < 300 else path))
+        stack.append((tag, content, none, f"{path}/{tag}" + (f".{css[1]}" if css else "") if len(path) < 300 else path))
+        is_open[tag] += 1
     flush()
     return out
 

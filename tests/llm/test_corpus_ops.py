@@ -521,3 +521,8 @@ def test_template_on_a_small_share_of_a_large_host(spark):
     rows = [(i, "https://host.example/a", (teaser if i % 20 == 0 else "") + f"<p>{b}</p>") for i, b in enumerate(bodies)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.text) for r in got) == list(enumerate(bodies))
+
+
+def test_deep_elements_close_their_own():
+    page = "<div><article>" + "<div>" * 250 + "deep<nav>menu</nav>" + "</div>" * 250 + "<p>rest of it</article></div>"
+    assert html.extract([page]) == ["deep\nrest of it"]
