@@ -1,13 +1,14 @@
 """Personal data, and terms that give it away, with DataFrame functions alone.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers by pattern and check. Each distinct value
-is a protected entity. Words of three letters or more within ``CONTEXT`` code points of a mention are its context. With
-N documents, n(e) that mention entity e, n(t) that hold term t anywhere and n(e, t) that mention e with t in its context,
+is a protected entity, and so are, since most values are rare, its pools: the domain of an address and the kind of value.
+With N documents, n(e) that mention entity e, n(t) that hold term t (a word of three letters or more), n(e, t) both,
 
     disclosure(t, e) = ln(n(e, t) N / (n(e) n(t))) / ln(N / n(e)),
 
 the share of the entity's information that the term gives away (pointwise mutual information over self-information).
-A term that co-occurs with an entity in ``min_support`` documents or more is generalised in that entity's contexts from
+A term is supported if so many of its documents would mention the entity by chance with probability ``RISK`` over the
+number of pairs at most (Chernoff's bound). A supported term is generalised in the documents that mention the entity from
 ``generalise`` on and removed from ``remove`` on.
 
 Matches keep to what the plain patterns say but are written so that no text takes more than linear time: runs are matched
@@ -20,6 +21,7 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 
 from entwyne.llm.common import materialise
 
-CONTEXT, MIN_SUPPORT, GENERALISE, REMOVE = 80, 3, 0.75, 0.9
-#: Candidate terms that are sent to all executors (some 60 bytes each) for counting; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+RISK, GENERALISE, REMOVE = 0.05, 0.75, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 _STEP = 64
+#: Entities that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ENTITIES = 200_000
 
 _PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -115,62 +117,52 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(F.when(w, _spans_of(text, k)), none) for k, w in enumerate(worth)]))
 
 
-def _window_terms(text: Column, start: Column, end: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Words between two places; a word at an edge that may go on beyond it is left out."""
-    own = F.coalesce(located(F.substring(text, start + 1, F.greatest(end - start, F.lit(0))), _TERM), F.array().cast("array<struct<value:string,start:int,end:int>>"))
-    whole = F.filter(own, lambda w: ~(cut_left & (w["start"] == 0)) & ~(cut_right & (w["end"] == end - start)))
-    return F.transform(whole, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + start).cast("int").alias("start"), (w["end"] + start).cast("int").alias("end")))
+def free_terms(text: Column, spans: Column) -> Column:
+    """Structs of term, start and end for the words that lie in no base span."""
+    words = F.coalesce(located(text, _TERM), F.array().cast("array<struct<value:string,start:int,end:int>>"))
+    free = F.filter(words, lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return F.transform(free, lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """Structs of entity, term, start and end for the words around each base span that lie in no base span."""
-    length = F.char_length(text)
-
-    def around(s: Column) -> Column:
-        low, high = F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["end"] + CONTEXT, length)
-        words = F.concat(
-            _window_terms(text, low, s["start"], low > 0, F.lit(False)),
-            _window_terms(text, s["end"], high, F.lit(False), high < length),
-        )
-        free = F.filter(words, lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.transform(free, lambda w: F.struct(s["entity"].alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, around))
+def entities(spans: Column) -> Column:
+    """The values mentioned, the domains of addresses (with their @) and the kinds."""
+    values = F.transform(spans, lambda s: s["entity"])
+    domains = F.transform(F.filter(values, lambda e: e.startswith("email:")), lambda e: F.regexp_replace(e, "^.*@", "@"))
+    return F.array_distinct(F.concat(values, domains, F.transform(values, lambda e: F.regexp_replace(e, ":.*$", ""))))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table of all rows: doc_id, h (digest of the text), n_base spans and their contexts."""
+    """Written table of all rows: doc_id, h (digest of the text), base spans, and where it has any, entities and words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans(F.col("text")).alias("base"))
-    around = F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base")))
-    return materialise(rows.select("doc_id", "h", "base", around.alias("contexts")), "pii")
-
-
+    some = F.size("base") > 0
+    return materialise(rows.select("doc_id", "h", "base", F.when(some, entities(F.col("base"))).alias("entities"), F.when(some, free_terms(F.col("text"), F.col("base"))).alias("words")), "pii")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of terms that co-occur with an entity often enough. All documents are counted."""
+def disclosures(docs: DataFrame, found: DataFrame, risk: float = RISK, text_col: str = "text") -> DataFrame:
+    """(entity, term, disclosure) of supported terms. All documents are counted, and each whole."""
     total = docs.count()
-    mentions = found.where(F.size("base") > 0).select("doc_id", "h", F.explode(F.array_distinct("base.entity")).alias("entity"))
-    per_entity = mentions.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    near = found.where(F.size("contexts") > 0).select("doc_id", "h", F.explode("contexts").alias("c")).select("doc_id", "h", "c.entity", "c.term").distinct()
-    together = materialise(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= min_support), "together")
-    terms = together.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
+    some = found.where(F.size("base") > 0).select("entities", F.array_distinct("words.term").alias("terms"))
+    each = some.select(F.explode("entities").alias("entity"), "terms")
+    per_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    together = materialise(each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "together")
+    pairs = max(1, together.count())
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"\P{L}+"))).alias("term"))
-    per_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = together.join(per_term, "term").join(per_entity, "entity").where(F.col("n_e") < total)
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
-    mutual = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t").cast("double")))
-    return both.select("entity", "term", (mutual / information).alias("disclosure"))
+    per_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    both = together.join(per_term, "term").join(F.broadcast(per_entity) if per_entity.count() <= BROADCAST_ENTITIES else per_entity, "entity").where(F.col("n_e") < total)
+    chance, n_t = F.col("n_e") / F.lit(float(total)), F.greatest("n_t", "n_et")
+    share = F.col("n_et") / n_t
+    distance = share * F.log(share / chance) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+    supported = (share > chance) & (n_t * distance >= F.lit(math.log(pairs / risk)))
+    return both.where(supported).select("entity", "term", (F.log(share / chance) / -F.log(chance)).alias("disclosure"))
 
 
-def all_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def all_spans(docs: DataFrame, risk: float = RISK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per row: doc_id, h, base spans, and the term spans (start, end, whether to remove)."""
     found = find(docs)
-    telling = disclosures(docs, found, min_support).where(F.col("disclosure") >= generalise)
-    uses = found.where(F.size("contexts") > 0).select("doc_id", "h", F.explode("contexts").alias("c")).select("doc_id", "h", "c.entity", "c.term", "c.start", "c.end")
+    telling = disclosures(docs, found, risk).where(F.col("disclosure") >= generalise)
+    uses = found.where(F.size("words") > 0).select("doc_id", "h", "words", F.explode("entities").alias("entity")).select("doc_id", "h", "entity", F.explode("words").alias("c")).select("doc_id", "h", "entity", "c.term", "c.start", "c.end")
     hit = uses.join(telling, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("most"))
     terms = hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("most") >= remove).alias("removed")))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "terms")

@@ -526,3 +526,13 @@ def test_template_on_a_small_share_of_a_large_host(spark):
 def test_deep_elements_close_their_own():
     page = "<div><article>" + "<div>" * 250 + "deep<nav>menu</nav>" + "</div>" * 250 + "<p>rest of it</article></div>"
     assert html.extract([page]) == ["deep\nrest of it"]
+
+
+def test_disclosure_of_rare_values(spark):
+    rnd = random.Random(22)
+    far = " ".join(f"word{chr(97 + k % 26)}" for k in range(60))
+    rows = [(i, f"Quixada spoke. {far} write to user{i}@corp.example please") for i in range(6)]
+    rows += [(10 + i, f"Someone spoke. {far} write to please " + words_text(rnd, 5)) for i in range(300)] + [(500, "solitary hapax for one@else.example")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("term:0:7" in got[i].spans.split(",") and got[i].n_terms == 1 for i in range(6))
+    assert all(got[i].n_terms == 0 for i, _ in rows if i >= 10)
