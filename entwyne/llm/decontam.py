@@ -9,6 +9,7 @@ The benchmark is a stated set of patterns against all documents: it is read in b
 patterns, each small enough for every executor, and the documents pass by once for each block.
 
 Defined results: a null text has no words and no hits; items without words match nothing; repeated items each count;
+items without an id are searched and counted as one, but are not in the digest of ids;
 repeated rows each get the same answer; empty tables give no rows or no hits; other columns stay.
 """
 
@@ -82,25 +83,25 @@ class WuManber:
             i += 1
 
 
-def index(items: list[tuple[str, set[tuple[bytes, ...]]]]) -> list[WuManber]:
+def index(items: list[tuple[str | None, set[tuple[bytes, ...]]]]) -> list[WuManber]:
     """One search for each length of pattern; each pattern knows its items."""
-    by: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(dict)
+    by: dict[int, dict[tuple[bytes, ...], list[str | None]]] = defaultdict(dict)
     for item_id, wins in items:
         for w in wins:
             by[len(w)].setdefault(w, []).append(item_id)
     return [WuManber({k: tuple(v) for k, v in own.items()}, size) for size, own in sorted(by.items())]
 
 
-def find(text: bytes | None, searches: list[WuManber]) -> tuple[int, list[int], list[str]]:
+def find(text: bytes | None, searches: list[WuManber]) -> tuple[int, list[int], list[str | None]]:
     """Words, places of hit words, ids of the items found."""
     own = words(text)
     hit: set[int] = set()
-    items: set[str] = set()
+    items: set[str | None] = set()
     for s in searches:
         for start, p in s.search(own):
             hit.update(range(start, start + s.length))
             items.update(s.patterns[p])
-    return len(own), sorted(hit), sorted(items)
+    return len(own), sorted(hit), sorted(items, key=lambda i: (i is None, i or ""))
 
 
 _STRUCT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -109,7 +110,7 @@ _STRUCT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("h
 def blocks(benchmark: DataFrame, size: int, block_windows: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[list]:
     """The benchmark's items with their windows, never more than a block (or one item) at a time."""
     held, n = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null").toLocalIterator(prefetchPartitions=False):
+    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator(prefetchPartitions=False):
         wins = windows(words(None if row.t is None else row.t.encode()), size)
         if not wins:
             continue

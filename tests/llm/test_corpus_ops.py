@@ -536,3 +536,13 @@ def test_disclosure_of_rare_values(spark):
     got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("term:0:7" in got[i].spans.split(",") and got[i].n_terms == 1 for i in range(6))
     assert all(got[i].n_terms == 0 for i, _ in rows if i >= 10)
+
+
+@pytest.mark.parametrize("block", [100_000, 1])
+def test_benchmark_items_without_id(spark, block):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "q r s a b c"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "x a b"), (7, "q r s")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, bench, window=3, block_windows=block).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {1: (4, 1, digest(""), True), 2: (6, 2, digest("7"), True), 3: (0, 0, digest(""), False)}
+    assert [r.doc_id for r in decontam.clean(docs, bench, window=3, block_windows=block).collect()] == [3]
