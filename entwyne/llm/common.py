@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,12 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: the warehouse, or if all of Spark is one
+    local process, a new folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='entwyne-')}"
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        folder = f"file://{tempfile.mkdtemp(prefix='entwyne-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -33,12 +36,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/entwyne-{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._entwyne_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more; other DataFrames are left alone."""
+    for df in written:
+        path = getattr(df, "_entwyne_path", None)
+        if path is not None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

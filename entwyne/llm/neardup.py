@@ -4,20 +4,22 @@
    MinHash samples folded into band keys, and an odd sketch: of the hashes in each of ``BINS`` ranges the least is a
    further MinHash sample, and sample i with value v toggles bit h(i, v) of a bitmap. A sample that two sets don't share
    toggles one bit or two, so the population count of two sketches' XOR tells how many they don't share.
-2. Equal sets are one class, named by its smallest doc_id; only classes go on.
-3. In each bucket of a band the smallest class is the pivot and every other member is paired with it: as many pairs as
+2. Equal sets are one class, with a number of its own; only classes go on.
+3. In each bucket of a band the first class is the pivot and every other member is paired with it: as many pairs as
    members. Pairs that sketch and set sizes don't rule out are confirmed on whole sets; links make components.
 4. A bucket whose members are still in several components may hide links between members that are no pivot. Members
-   outside its largest component are then compared, by sketch and within blocks of the bucket, with all others; the
-   closest few per component are confirmed first, then all that the sketches allow.
+   outside its largest component are compared with all members of other components, within blocks of the bucket: sketches
+   rule pairs out, digests of all their shingles confirm the others, and a link joins their components for the rest of
+   the task. A task puts out only such links, so fewer than it has components; a pair is compared in the first band that
+   its classes share.
 
-No step makes all pairs of a bucket, gathers a bucket in a task, or brings links or components to the driver.
+No step puts out all pairs of a bucket, gathers a bucket in a task, or brings links or components to the driver.
 
 A link is missed only if its classes share no band key (one in seven million at similarity 0.8, one in three hundred
 million at 0.85) or their sketches differ in over ``DEVIATIONS`` standard deviations more bits than expected.
 
 Defined results: a text without words has an empty set, its own component and no links; fewer words than a shingle make
-one shingle of all; of rows that share a doc_id each gets the component of its own set; a row with a null doc_id is linked
+one shingle of all; of rows that share a doc_id each gets the component of its own set, and ``keep_one`` judges each; a row with a null doc_id is linked
 with nothing, its component is null and it is kept; an empty table gives no rows; columns other than doc_id and text are
 not read.
 """
@@ -35,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entwyne.llm.common import keyed_text, materialise, raw_texts, slices
+from entwyne.llm.common import discard, keyed_text, materialise, raw_texts, slices
 
 BANDS, ROWS = 30, 4
 SAMPLES = BANDS * ROWS
 BINS, SKETCH_BITS = 2048, 4096
 DEVIATIONS = 5.0
-#: Classes of a bucket that are compared within one task.
-BLOCK = 1024
+#: Classes of a bucket, and shingles of these, that are compared within one task.
+BLOCK, BLOCK_SHINGLES = 8192, 8_000_000
 #: Ids that go to all executors to thin a scan (8 bytes each); more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -149,19 +151,25 @@ def _sign(shingle: int):
                     keys.append(None)
                     sketch.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sketch, longs)], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(sketch, longs)], ["doc_id", "h", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and h, a digest of the text: with the doc_id it tells rows apart."""
+    return keyed_text(docs).withColumn("h", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    return keyed_text(docs).mapInArrow(_sign(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return _hashed(docs).mapInArrow(_sign(shingle), "doc_id long, h long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row per set: the smallest doc_id that has it, with size and sketches."""
+    """Written table of one row per set: a number, its smallest doc_id (with that text's digest), size and sketches."""
     own = signed.where("doc_id is not null and digest is not null").groupBy("digest")
-    return own.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    own = own.agg(F.min(F.struct("doc_id", "h")).alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return materialise(own.select(F.monotonically_increasing_id().alias("id"), "digest", "doc.doc_id", "doc.h", "n", "bands", "sketch"), "classes")
 
 
 def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -188,16 +196,24 @@ def _confirm(percent: int, shingle: int):
     return F.arrow_udf(run, T.BooleanType())
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _texts(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the classes whose ``id`` is in the written table ``ids``; a row that is repeated comes once."""
+    small = ids.count() <= BROADCAST_IDS
+    wanted = reps.select("id", "doc_id", "h").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    rows = _hashed(docs).where("doc_id is not null and text is not null")
+    return rows.join(F.broadcast(wanted) if small else wanted, ["doc_id", "h"]).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs whose whole sets are similar enough. ``pairs`` is a written table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keyed_text(docs).where("doc_id is not null and text is not null")
-    small = pairs.count() * 2 <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    texts = _texts(ids, reps, docs)
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     met = pairs.hint("merge").join(left, "a").hint("merge").join(right.hint("merge"), "b")
-    return met.where(_confirm(percent, shingle)("ta", "tb")).select("a", "b").distinct()
+    links = materialise(met.where(_confirm(percent, shingle)("ta", "tb")).select("a", "b"), "links")
+    discard(ids)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,107 +230,114 @@ def components(links: DataFrame) -> DataFrame:
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         joined = big.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        before, edges = edges, materialise(small, "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
         state = tuple(now)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out._entwyne_path = edges._entwyne_path  # all that it reads
+    return out
 
 
-def _compare(best: int, percent: int):
-    """Within a block: each probe against all members of other components, by sketch; the closest per component."""
+def _compare(percent: int, shingle: int):
+    """Within a block: links between components, one for each time that two of them become one."""
 
     def run(batch: pa.Table) -> pa.Table:
-        ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n"))
-        probe, home = batch.column("probe").to_numpy(zero_copy_only=False), batch.column("home").to_numpy(zero_copy_only=False)
-        sketch = batch.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)  # bits of negative numbers are not counted as they are
-        out: dict[tuple[int, int], bool] = {}
-        targets = np.flatnonzero(home)
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        matrix = lambda c: batch.column(c).combine_chunks().flatten().to_numpy().reshape(batch.num_rows, -1)
+        ids, comp, n, probe, home = (column(c) for c in ("id", "comp", "n", "probe", "home"))
+        comp, keys, sketch = comp.copy(), matrix("bands"), matrix("sketch").view(np.uint64)  # bits of negative numbers are not counted as they are
+        band = int((keys[0] == batch.column("key")[0].as_py()).argmax())
+        texts = batch.column("text").cast(pa.large_binary())
+        sets: dict[int, np.ndarray] = {}
+
+        def own(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_hashes(tokens(texts[k].as_py()), shingle)
+            return sets[k]
+
+        out: list[tuple[int, int]] = []
         for i in np.flatnonzero(probe).tolist():
-            j = targets[comp[targets] != comp[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = np.flatnonzero(home & (comp != comp[i]) & (~probe | (ids < ids[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if len(j):
+                j = j[(keys[j, : band + 1] == keys[i, : band + 1]).argmax(axis=1) == band]
             if not len(j):
                 continue
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             close = far <= most_bits(percent, n[j] + n[i])
-            j, far = j[close], far[close]
-            order = np.argsort(far, kind="stable")
-            j = j[order]
-            took: dict[int, int] = {}
+            j = j[close][np.argsort(far[close], kind="stable")]
             for k in j.tolist():
-                c = int(comp[k])
-                took[c] = took.get(c, 0) + 1
-                if took[c] <= best:
-                    pair = (int(ids[i]), int(ids[k]))
-                    out[max(pair), min(pair)] = out.get((max(pair), min(pair)), False)
-                elif took[c] == best + 1:
-                    out[int(ids[i]), int(ids[i])] = True
+                if comp[k] != comp[i]:
+                    same = len(np.intersect1d(own(i), own(k), assume_unique=True))
+                    if 100 * same >= percent * (int(n[i]) + int(n[k]) - same):
+                        comp[comp == comp[k]] = comp[i]
+                        out.append((int(max(ids[i], ids[k])), int(min(ids[i], ids[k]))))
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(out.values()), pa.bool_())], ["a", "b", "more"])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _hidden(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int, best: int) -> DataFrame:
-    """Step 4: (a, b, more) for buckets with several components; more marks a class with closer members left untested."""
+def _hidden(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, shingle: int, block: int) -> DataFrame:
+    """Step 4: links that join components which share a bucket, enough of them to join all that are linked there."""
     known = buckets.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y and size > 2").select("key", "size")
     own = materialise(known.join(mixed, "key"), "mixed")
-    largest = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
-    rows = own.join(largest, "key").join(reps.select("id", "n", "sketch"), "id")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    at = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    rows = rows.withColumn("probe", F.col("comp") != F.col("top")).withColumn("at", at)
-    blocks = F.when(F.col("probe"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array("at"))
-    rows = rows.withColumn("block", F.explode(blocks)).withColumn("home", F.col("block") == F.col("at"))
-    found = rows.groupBy("key", "block").applyInArrow(_compare(best, percent), "a long, b long, more boolean")
-    return found.distinct()
-
-
-def link(docs: DataFrame, percent: int = 85, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
+    ids = materialise(own.select("id").distinct(), "ids")
+    each = reps.select("id", "n", "bands", "sketch").join(_texts(ids, reps, docs), "id")
+    sizes = own.join(reps.select("id", "n"), "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.sum("n").alias("total"))
+    n_blocks = F.ceil(F.greatest(F.col("size") / block, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = own.join(sizes, "key").withColumn("blocks", n_blocks).withColumn("probe", F.col("comp") != F.col("top")).withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    to = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
+    rows = rows.withColumn("block", F.explode(to)).withColumn("home", F.col("block") == F.col("at")).select("key", "id", "comp", "probe", "home", "block").join(each, "id")
+    links = materialise(rows.groupBy("key", "block").applyInArrow(_compare(percent, shingle), "a long, b long"), "links")
+    discard(own, ids)
+    return links
+
+
+def link(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (digest, component) of every set."""
     signed = materialise(signatures(docs, shingle), "signed")
-    reps = materialise(classes(signed), "classes")
+    reps = classes(signed)
     keyed = reps.select("id", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = materialise(keyed.join(pivots, "key"), "buckets")
-    pairs = buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    tested = materialise(_screened(pairs, reps, percent), "pairs")
-    links = materialise(_confirmed(tested, docs, percent, shingle), "links")
-    comps = materialise(components(links), "comps")
-    wide = buckets.where("size > 2").select("key", "id")
-    best = 4  # once the closest are tested, all others of what is still apart are
-    while True:
-        found = materialise(_hidden(wide, comps, reps, percent, best), "hidden")
-        fresh = materialise(found.where("not more").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            new = materialise(_confirmed(fresh, docs, percent, shingle), "links")
-            tested = tested.unionByName(fresh)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                comps = materialise(components(links), "comps")
-        if found.where("more").isEmpty():
-            break
-        best = 1 << 40
-    own = reps.select("digest", "id").join(comps, "id", "left")
-    return signed, own.select("digest", F.coalesce("component", "id").alias("component_id"))
+    pairs = materialise(_screened(buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), reps, percent), "pairs")
+    links = _confirmed(pairs, reps, docs, percent, shingle)
+    comps = components(links)
+    more = _hidden(buckets.where("size > 2").select("key", "id"), comps, reps, docs, percent, shingle, block)
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
+    # A component is known by its smallest doc_id.
+    own = reps.select("digest", "id", "doc_id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = materialise(own.join(first, "component").select("digest", "component_id"), "components")
+    discard(reps, buckets, pairs, links, comps, more)
+    return signed, found
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, size of its set, component, and whether it is the one that stays."""
+    return _judged(docs, percent, shingle, block).drop("h")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
-    """Per row: doc_id, size of its set, component, and whether it is the one that stays."""
-    signed, comps = link(docs, percent, shingle)
-    merged = signed.select("doc_id", "n_shingles", "digest").join(comps, "digest", "left")
+def _judged(docs: DataFrame, percent: int, shingle: int, block: int) -> DataFrame:
+    signed, comps = link(docs, percent, shingle, block)
+    merged = signed.select("doc_id", "h", "n_shingles", "digest").join(comps, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return merged.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return merged.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
-    """``docs`` without all but the first document of each component."""
-    gone = materialise(near_duplicates(docs, percent, shingle).where("not kept").select(F.col("doc_id").alias("__entwyne_gone")).distinct(), "gone")
+def keep_one(docs: DataFrame, percent: int = 85, shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """``docs`` without all but the first document of each component; rows that share a doc_id are judged one by one."""
+    gone = materialise(_judged(docs, percent, shingle, block).where("not kept").select(F.col("doc_id").alias("__entwyne_gone"), F.col("h").alias("__entwyne_h")).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == F.col("__entwyne_gone"), "left_anti")
+    met = (docs["doc_id"].cast("long") == F.col("__entwyne_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__entwyne_h"))
+    return docs.join(F.broadcast(gone) if small else gone, met, "left_anti")
 
 
 __all__ = ["components", "keep_one", "near_duplicates", "odd_sketch", "similarity_estimate"]

@@ -200,8 +200,8 @@ def _near_truth(rows, percent, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("percent", "size"), [(85, 3), (80, 5)])
-def test_near_duplicates(spark, awkward, nothing, percent, size):
+@pytest.mark.parametrize(("percent", "size", "block"), [(85, 3, 8192), (80, 5, 8192), (80, 5, 4)])
+def test_near_duplicates(spark, awkward, nothing, percent, size, block):
     rnd = random.Random(6)
     rows = [(i, t) for i, t, *_ in awkward[1]]
     for g in range(6):
@@ -214,11 +214,22 @@ def test_near_duplicates(spark, awkward, nothing, percent, size):
     chain = words_text(rnd, 200).split()
     for k in range(12):  # a chain: neighbours are linked, ends are not
         rows.append((300 - k, " ".join(chain[k * 5 : k * 5 + 110])))
+    base = words_text(rnd, 60).split()
+    for k in range(25):  # near copies of one text, at about the least similarity that links
+        copy = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            copy[rnd.randrange(len(copy))] = f"e{k}x{rnd.randrange(3)}"
+        rows.append((400 + k, " ".join(copy)))
+    one, two = words_text(rnd, 90), words_text(rnd, 90)
+    shared = [(501, one), (505, one + " tail"), (505, two), (509, two + " tail"), (505, two)]  # one doc_id, several texts
+    rows += shared
+    rnd.shuffle(rows)
     df = spark.createDataFrame([(i, t, "c", "b") for i, t in rows], "doc_id long, text string, component string, bands string")
-    got = sorted((tuple(r) for r in neardup.near_duplicates(df, percent, size).collect()), key=repr)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, percent, size, block).collect()), key=repr)
     assert got == _near_truth(rows, percent, size)
-    kept = neardup.keep_one(df, percent, size)
+    kept = neardup.keep_one(df, percent, size, block)
     assert kept.columns == df.columns and kept.count() == sum(x[3] for x in got)
+    assert sorted(tuple(r) for r in kept.where("doc_id > 500").select("doc_id", "text").collect()) == sorted([shared[0], shared[2], shared[4]])
     assert neardup.near_duplicates(nothing).count() == 0
 
 
