@@ -14,8 +14,8 @@ number of pairs at most (Chernoff's bound). A supported term is generalised in t
 Matches keep to what the plain patterns say but are written so that no text takes more than linear time: runs are matched
 possessively and only from their start.
 
-Defined results: a null text is empty; spans count code points, end exclusive; equal rows share their result; a null
-doc_id is a document like others; an entity in every document has no information to give away, so no terms; an empty
+Defined results: a null text is empty; spans count code points, end exclusive; repeated rows are counted each, and
+share their result; a null doc_id is a document like others; an entity in every document has no information to give away, so no terms; an empty
 table gives no rows; extra columns are not read.
 """
 
@@ -28,13 +28,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwyne.llm.common import materialise
+from entwyne.llm.common import discard, materialise
 
 RISK, GENERALISE, REMOVE = 0.05, 0.75, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 _STEP = 64
-#: Entities that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
-BROADCAST_ENTITIES = 200_000
+#: Entities, terms or pairs of both that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -140,30 +140,44 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return materialise(rows.select("doc_id", "h", "base", F.when(some, entities(F.col("base"))).alias("entities"), F.when(some, free_terms(F.col("text"), F.col("base"))).alias("words")), "pii")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, risk: float = RISK, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of supported terms. All documents are counted, and each whole."""
+def _spread(rows: DataFrame, most: int) -> DataFrame:
+    """Written rows, sent to all executors where they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def disclosures(docs: DataFrame, found: DataFrame, risk: float = RISK, text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Written table of (entity, term, disclosure) of supported terms. All rows are counted, and each whole.
+
+    n(t) KL(n(e, t) / n(t), n(e) / N) is at most n(e, t) ln(N / n(e)): only pairs for which that is enough can be
+    supported, so only their terms are counted over all documents.
+    """
     total = docs.count()
     some = found.where(F.size("base") > 0).select("entities", F.array_distinct("words.term").alias("terms"))
     each = some.select(F.explode("entities").alias("entity"), "terms")
-    per_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    per_entity = materialise(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
     together = materialise(each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "together")
-    pairs = max(1, together.count())
+    needed = math.log(max(1, together.count()) / risk)
+    chance = F.col("n_e") / F.lit(float(total))
+    near = together.join(_spread(per_entity, broadcast_rows), "entity").where((F.col("n_e") < total) & (F.col("n_et") * -F.log(chance) >= needed * (1 - 1e-9)))
+    near = materialise(near.select("entity", "term", "n_e", "n_et"), "near")
+    terms = materialise(near.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"\P{L}+"))).alias("term"))
-    per_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = together.join(per_term, "term").join(F.broadcast(per_entity) if per_entity.count() <= BROADCAST_ENTITIES else per_entity, "entity").where(F.col("n_e") < total)
-    chance, n_t = F.col("n_e") / F.lit(float(total)), F.greatest("n_t", "n_et")
+    per_term = words.join(_spread(terms, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = F.greatest("n_t", "n_et")
     share = F.col("n_et") / n_t
     distance = share * F.log(share / chance) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - chance))).otherwise(0.0)
-    supported = (share > chance) & (n_t * distance >= F.lit(math.log(pairs / risk)))
-    return both.where(supported).select("entity", "term", (F.log(share / chance) / -F.log(chance)).alias("disclosure"))
+    supported = near.join(per_term, "term", "left").where((share > chance) & (n_t * distance >= needed))
+    out = materialise(supported.select("entity", "term", (F.log(share / chance) / -F.log(chance)).alias("disclosure")), "disclosures")
+    discard(per_entity, together, near, terms)
+    return out
 
 
-def all_spans(docs: DataFrame, risk: float = RISK, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def all_spans(docs: DataFrame, risk: float = RISK, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row: doc_id, h, base spans, and the term spans (start, end, whether to remove)."""
     found = find(docs)
-    telling = disclosures(docs, found, risk).where(F.col("disclosure") >= generalise)
+    telling = materialise(disclosures(docs, found, risk, broadcast_rows=broadcast_rows).where(F.col("disclosure") >= generalise), "telling")
     uses = found.where(F.size("words") > 0).select("doc_id", "h", "words", F.explode("entities").alias("entity")).select("doc_id", "h", "entity", F.explode("words").alias("c")).select("doc_id", "h", "entity", "c.term", "c.start", "c.end")
-    hit = uses.join(telling, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("most"))
+    hit = uses.join(_spread(telling, broadcast_rows), ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("most"))
     terms = hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("most") >= remove).alias("removed")))).alias("terms"))
     terms = terms.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "terms")
     return found.join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left").select("doc_id", "h", "base", "terms")

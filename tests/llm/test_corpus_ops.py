@@ -549,6 +549,41 @@ def test_disclosure_of_rare_values(spark):
     assert all(got[i].n_terms == 0 for i, _ in rows if i >= 10)
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_disclosures_against_brute_force(spark, broadcast_rows):
+    rnd = random.Random(32)
+    names = ["Quix", "Zebul", "Marnok", "Tolvan"]
+    rows = []
+    for i in range(260):
+        who = rnd.choice(names) if i % 5 == 0 else "Someone"
+        rows.append((i % 250, f"{who} said {rnd.choice(WORDS)} {rnd.choice(WORDS)} and {rnd.choice(WORDS)}" + (f" to {who}{rnd.randrange(2)}@{who}.example now" if i % 5 == 0 else "")))
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (900, None), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(df)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(df, found, broadcast_rows=broadcast_rows).collect()}
+    n_e, n_t, n_et = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t in rows:
+        t = t or ""
+        mails = re.findall(r"\S+@\S+", t)
+        for w in set(re.findall(r"[a-z]+", t.lower())):
+            n_t[w] += 1
+        ents = {f"email:{m.lower()}" for m in mails} | {"@" + m.lower().split("@")[1] for m in mails} | ({"email"} if mails else set())
+        free = {w for w in re.findall(r"[a-z]{3,}", re.sub(r"\S+@\S+", " ", t).lower())}
+        for e in ents:
+            n_e[e] += 1
+            for w in free:
+                n_et[e, w] += 1
+    want, needed = {}, np.log(len(n_et) / pii.RISK)
+    for (e, w), k in n_et.items():
+        chance, share = n_e[e] / len(rows), k / n_t[w]
+        far = share * np.log(share / chance) + ((1 - share) * np.log((1 - share) / (1 - chance)) if share < 1 else 0)
+        if share > chance and n_t[w] * far >= needed:
+            want[e, w] = np.log(share / chance) / -np.log(chance)
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    spans = [sorted((r.doc_id, r.spans) for r in pii.report(df, broadcast_rows=n).where("doc_id is not null").collect()) for n in (0, 200_000)]
+    assert spans[0] == spans[1]
+
+
 @pytest.mark.parametrize("block", [100_000, 1])
 def test_benchmark_items_without_id(spark, block):
     docs = spark.createDataFrame([(1, "x a b c y"), (2, "q r s a b c"), (3, "none")], "doc_id long, text string")
