@@ -1,8 +1,9 @@
 """Passages that several documents share, by content-defined chunks.
 
 A gear hash rolls over the UTF-8 bytes: each step shifts it left by one bit and adds a random number for the byte, so
-that in 16 bits it knows the last 16 bytes. A chunk ends where the hash's upper bits are zero, but not before
-``LEAST`` bytes and at ``MOST`` at the latest, and only between code points. Where two texts share a passage, their ends
+that in 16 bits it knows the last 16 bytes. A chunk ends between code points where the hash's upper ``CUT_BITS`` bits are
+zero, but not before ``LEAST`` bytes. Where none is found for ``MOST`` bytes, it ends at the last place whose upper
+``LOOSE_BITS`` bits are zero, and only in text without such a place after ``MOST`` bytes. Where two texts share a passage, their ends
 fall together soon after its start, whatever was inserted before it. Chunks are compared by digest.
 
 A chunk is repeated if documents of different doc_id hold it; a run is a series of adjacent repeated chunks of at least
@@ -19,6 +20,7 @@ gives no rows; columns other than doc_id and text are not read by the report and
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -32,10 +34,12 @@ from pyspark.sql import types as T
 from entwyne.llm.common import keyed_text, materialise, raw_texts, slices
 from entwyne.llm.linedup import Suspected, slots_for, suspects
 
-LEAST, MOST, CUT_BITS = 16, 128, 4
+LEAST, MOST, CUT_BITS, LOOSE_BITS = 16, 128, 4, 2
 #: Code points of the shortest run: a passage of 50 words has about 280, of which chunks cover all but some 60.
 MIN_RUN = 140
-SLOTS_PER_ROW = 512
+SLOTS_PER_ROW = 256
+#: Repeated chunks that are sent to all executors (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_CHUNKS = 300_000
 
 _GEAR = np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -52,13 +56,19 @@ def boundaries(text: bytes) -> list[int]:
         more[step:] += h[:-step] << np.uint16(step)
         h = more
     inner = (raw[1:] & 0xC0) != 0x80
-    found = (np.flatnonzero(((h[:-1] >> np.uint16(16 - CUT_BITS)) == 0) & inner) + 1).tolist()
+    top = h[:-1] >> np.uint16(16 - CUT_BITS)
+    found = (np.flatnonzero((top == 0) & inner) + 1).tolist()
+    loose = (np.flatnonzero(((top >> np.uint16(CUT_BITS - LOOSE_BITS)) == 0) & inner) + 1).tolist()
     ends, last = [], 0
     for at in [*found, n]:
         while at - last > MOST:
-            last += MOST
-            while last < n and text[last] & 0xC0 == 0x80:
-                last += 1
+            k = bisect_right(loose, last + MOST) - 1
+            if k >= 0 and loose[k] - last >= LEAST:
+                last = loose[k]
+            else:
+                last += MOST
+                while last < n and text[last] & 0xC0 == 0x80:
+                    last += 1
             if last < n:
                 ends.append(last)
         if at - last >= LEAST or at == n > last:
@@ -134,14 +144,16 @@ def _runs(min_run: int):
     return F.arrow_udf(run, _SPANS)
 
 
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, slots: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, slots: int | None = None, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
     """(doc_id, repeats, dropped) of each document with a run: lists of [start, end) in code points."""
     spark = docs.sparkSession
     texts = keyed_text(docs).where("doc_id is not null and text is not null")
     filter_ = spark.sparkContext.broadcast(suspects(texts, slots or slots_for(texts.count(), SLOTS_PER_ROW), _distinct))
     found = materialise(texts.mapInArrow(_marked(filter_, min_run), "digest binary, doc_id long, start long, end long"), "chunks")
     shared = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    own = found.join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", (F.col("doc_id") != F.col("first")).alias("later"))).alias("spans"))
+    shared = materialise(shared, "shared")
+    small = shared.count() <= broadcast_chunks
+    own = found.join(F.broadcast(shared) if small else shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", (F.col("doc_id") != F.col("first")).alias("later"))).alias("spans"))
     return own.select("doc_id", _runs(min_run)("spans").alias("s")).select("doc_id", "s.repeats", "s.dropped").where(F.size("repeats") > 0)
 
 

@@ -273,6 +273,43 @@ def test_repeats(spark, nothing):
     assert chunkdup.report(nothing).count() == 0
 
 
+def test_chunk_ends_against_a_byte_loop():
+    rnd = random.Random(33)
+    for n in (0, 5, 16, 17, 300, 3000):
+        text = "".join(rnd.choice("ab é漢") if rnd.random() < 0.7 else "aaaa" for _ in range(n)).encode() + b"a" * n
+        h, strict, loose = 0, set(), set()
+        for k, c in enumerate(text[:-1]):
+            h = ((h << 1) + int(chunkdup._GEAR[c])) & 0xFFFF
+            if text[k + 1] & 0xC0 != 0x80:
+                strict |= {k + 1} if h >> 12 == 0 else set()
+                loose |= {k + 1} if h >> 14 == 0 else set()
+        ends, last = [], 0
+        while last < len(text):
+            near = [k for k in range(last + 16, min(len(text), last + 129)) if k in strict]
+            back = [k for k in range(last + 16, min(len(text), last + 129)) if k in loose]
+            if near:
+                last = near[0]
+            elif len(text) - last <= 128:
+                last = len(text)
+            elif back:
+                last = back[-1]
+            else:
+                last += 128
+                while last < len(text) and text[last] & 0xC0 == 0x80:
+                    last += 1
+            ends.append(last)
+        assert chunkdup.boundaries(text) == (ends if len(text) > 16 else [len(text)] if text else [])
+
+
+def test_repeats_by_either_join(spark):
+    rnd = random.Random(34)
+    passage = words_text(rnd, 60)
+    rows = [(i % 9, words_text(rnd, 20) + " " + passage + " " + words_text(rnd, 20)) for i in range(12)] + [(20, "own words only"), (20, "own words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    both = [sorted(tuple(r) for r in chunkdup.repeated_spans(df, slots=1 << 12, broadcast_chunks=n).collect()) for n in (300_000, 0)]
+    assert both[0] == both[1] and [r[0] for r in both[0]] == list(range(9))
+
+
 def test_chunks_cover_text():
     rnd = random.Random(9)
     for _ in range(60):
