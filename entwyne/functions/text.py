@@ -155,8 +155,8 @@ def derive_views(full: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
-def normalise(records: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Records to their comparison views."""
+def normalise(records: DataFrame, vocabulary: Vocabulary | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records to their comparison views; the columns ``keep`` stay beside them."""
     vocabulary = vocabulary or Vocabulary()
     address = address_tokens(F.col("business_address"), vocabulary)
     full = records.select(
@@ -165,9 +165,10 @@ def normalise(records: DataFrame, vocabulary: Vocabulary | None = None) -> DataF
         F.array_join(address, " ").alias("ad_full"),
         F.array_join(F.filter(address, lambda t: t.rlike(r"^\d+$")), " ").alias("ad_num"),
         country(F.col("country")).alias("ctry"),
+        *keep,
     )
     views = derive_views(full, vocabulary)
-    return views.select("entity_id", "nm_full", "nm_core", "nm_compact", "nm_skel", "ad_full", "ad_core", "ad_num", "ad_alpha", "ctry")
+    return views.select("entity_id", "nm_full", "nm_core", "nm_compact", "nm_skel", "ad_full", "ad_core", "ad_num", "ad_alpha", "ctry", *keep)
 
 
 def name_view(name: Column, vocabulary: Vocabulary | None = None) -> Column:

@@ -9,6 +9,7 @@ from entwyne.functions.text import normalise
 from entwyne.functions.vocabulary import Vocabulary
 from entwyne.operators import blocking, decision, model, pairs
 from entwyne.schemas import CONTEXT
+from entwyne.sources.shared import materialise
 
 
 def sides(views: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +20,7 @@ def sides(views: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidates(records: DataFrame, vocabulary: Vocabulary | None = None, config: blocking.BlockingConfig = blocking.BlockingConfig(), k: int = 80) -> DataFrame:
     """(source1_entity_id, cand_id, n_keys, rr_score): reranked candidates of every S1 record."""
-    queries, pool = sides(normalise(records, vocabulary))
+    queries, pool = sides(materialise(normalise(records, vocabulary), "views"))
     return pairs.rerank_top(blocking.candidates(queries, pool, config), queries, pool, k)
 
 
@@ -44,13 +45,18 @@ def train(found: DataFrame, views: DataFrame, truth: DataFrame, kind: str = "log
     return model.fit(rows, names, kind), names
 
 
-def resolve(records: DataFrame, rule: decision.Rule = decision.PRODUCTION, fitted=None, names=None, vocabulary: Vocabulary | None = None, config: blocking.BlockingConfig = blocking.BlockingConfig(), k: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(matches, candidates) as pairs. Without a model the fixed curve of the lexical score decides."""
-    views = normalise(records, vocabulary)
-    queries, pool = sides(views)
-    found = pairs.rerank_top(blocking.candidates(queries, pool, config), queries, pool, k)
+def decide(found: DataFrame, views: DataFrame, rule: decision.Rule = decision.PRODUCTION, fitted=None, names=None) -> DataFrame:
+    """Accepted pairs of reranked candidates. Without a model the fixed curve of the lexical score decides."""
     if fitted is None:
         scored = found.withColumn("p", simple_score())
     else:
         scored = model.score(featurise(found, views)[0], fitted, names).select("source1_entity_id", "cand_id", "rr_score", "p")
-    return decision.apply(scored, rule), found.select("source1_entity_id", "cand_id")
+    return decision.apply(scored, rule)
+
+
+def resolve(records: DataFrame, rule: decision.Rule = decision.PRODUCTION, fitted=None, names=None, vocabulary: Vocabulary | None = None, config: blocking.BlockingConfig = blocking.BlockingConfig(), k: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(matches, candidates) as pairs. Views and candidates are written tables, as several steps read them."""
+    views = materialise(normalise(records, vocabulary), "views")
+    queries, pool = sides(views)
+    found = materialise(pairs.rerank_top(blocking.candidates(queries, pool, config), queries, pool, k), "candidates")
+    return decide(found, views, rule, fitted, names), found.select("source1_entity_id", "cand_id")

@@ -17,6 +17,7 @@ from entwyne.functions import vocabulary as V
 from entwyne.operators import blocking, decision, metrics, mining, model, pairs, retrieval, splits, validate
 from entwyne.plans import resolve
 from entwyne.sources import tables
+from entwyne.sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,33 +135,48 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return kept(spark, f"{d}/pages.parquet", name, build)
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    """The normalised table, written once and read by all later stages: views and body of each record."""
+    return _kept(spark, d, "views", lambda: X.normalise(records(spark, d), keep=("body",)))
+
+
 def views(spark: SparkSession, d: str) -> DataFrame:
-    return X.normalise(records(spark, d))
+    return base(spark, d).drop("body")
 
 
 def true_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).select("entity_id", "body", X.country(F.col("country")).alias("ctry"))
-    one, two = resolve.sides(rows)
+    one, two = resolve.sides(base(spark, d).select("entity_id", "body", "ctry"))
     return one.select(F.col("entity_id").alias("source1_entity_id"), "body", "ctry").join(two.select(F.col("entity_id").alias("cand_id"), "body", "ctry"), ["body", "ctry"]).select("source1_entity_id", "cand_id")
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).where(F.col("entity_id").startswith("S1-"))
-    return rows.select(F.col("entity_id").alias("source1_entity_id"), X.country(F.col("country")).alias("ctry"))
+    return base(spark, d).where(F.col("entity_id").startswith("S1-")).select(F.col("entity_id").alias("source1_entity_id"), "ctry")
 
 
 def found(spark: SparkSession, d: str, config: blocking.BlockingConfig = blocking.BlockingConfig()) -> DataFrame:
-    return blocking.candidates(*resolve.sides(views(spark, d)), config)
+    """Candidates, a stage table too."""
+    return _kept(spark, d, f"candidates {config.max_cand} {config.max_posting}", lambda: blocking.candidates(*resolve.sides(views(spark, d)), config))
+
+
+def reranked(spark: SparkSession, d: str, k: int = 80) -> DataFrame:
+    return _kept(spark, d, f"reranked {k}", lambda: pairs.rerank_top(found(spark, d), *resolve.sides(views(spark, d)), k))
 
 
 def scored(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
-    """Candidates with built-in similarities only, so that SQL can follow: rr_score, p and, if asked for, y."""
-    own = views(spark, d)
-    rows = pairs.attach(found(spark, d), *resolve.sides(own), ("nm_core", "nm_compact", "ad_alpha"))
+    """Candidates with built-in similarities only, so that SQL can follow: rr_score, p and, if asked for, y. A stage table."""
+    rows = _kept(spark, d, "scored", lambda: pairs.label(_scored(spark, d), true_pairs(spark, d)))
+    return rows if labelled else rows.drop("y")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs.attach(found(spark, d), *resolve.sides(views(spark, d)), ("nm_core", "nm_compact", "ad_alpha"))
     jaccard = lambda v: S.set_ratios(*S.set_counts(S.token_array(F.col(f"q_{v}")), S.token_array(F.col(f"c_{v}"))))[0]
     names, places, spelling = jaccard("nm_core"), jaccard("ad_alpha"), S.levenshtein_similarity(F.col("q_nm_compact"), F.col("c_nm_compact"))
-    out = rows.select("source1_entity_id", "cand_id", "n_keys", F.round(0.7 * names + 0.3 * places, 6).alias("rr_score"), F.round(0.6 * spelling + 0.25 * names + 0.15 * places, 6).alias("p"))
-    return pairs.label(out, true_pairs(spark, d)) if labelled else out
+    return rows.select("source1_entity_id", "cand_id", "n_keys", F.round(0.7 * names + 0.3 * places, 6).alias("rr_score"), F.round(0.6 * spelling + 0.25 * names + 0.15 * places, 6).alias("p"))
 
 
 RULE = decision.Rule(t_s2=0.8, t_s3=0.75, rel_margin=0.95, min_best=0.5, override_rr=0.74, override_p=0.65, max_k=11)
@@ -337,12 +353,12 @@ def spelling_similarity(spark, d):
 
 @query()
 def reranked_candidates(spark, d):
-    return resolve.candidates(records(spark, d), k=80)
+    return rounded(reranked(spark, d)).withColumn("n_keys", F.col("n_keys").cast("int"))
 
 
 @query()
 def pair_features_all(spark, d):
-    rows, names = resolve.featurise(resolve.candidates(records(spark, d)), views(spark, d))
+    rows, names = resolve.featurise(reranked(spark, d), views(spark, d))
     return rows.select("source1_entity_id", "cand_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
 
 
@@ -350,7 +366,7 @@ def pair_features_all(spark, d):
 def fitted_matches(spark, d):
     """Candidates scored by a logistic model fitted on the sampled pairs, decided by the production rule."""
     own, truth = views(spark, d), true_pairs(spark, d)
-    cand = resolve.candidates(records(spark, d)).persist()
+    cand = reranked(spark, d)
     fitted, names = resolve.train(cand, own, truth)
     out = model.score(resolve.featurise(cand, own)[0], fitted, names).select("source1_entity_id", "cand_id", "rr_score", "p")
     return decision.apply(out, decision.PRODUCTION)
@@ -358,7 +374,7 @@ def fitted_matches(spark, d):
 
 @query()
 def resolved_matches(spark, d):
-    return resolve.resolve(records(spark, d))[0]
+    return resolve.decide(reranked(spark, d), views(spark, d))
 
 
 # ---- decisions and metrics -----------------------------------------------------------------------------------------
