@@ -123,6 +123,121 @@ round(CASE WHEN sum(n_pred) > 0 THEN sum(tp)::DOUBLE / sum(n_pred) ELSE 0 END, 6
 round(CASE WHEN sum(tp) > 0 THEN 1.25 * (sum(tp)::DOUBLE / sum(n_pred)) * (sum(tp)::DOUBLE / sum(n_true)) / (0.25 * sum(tp) / sum(n_pred) + sum(tp)::DOUBLE / sum(n_true)) ELSE 0 END, 6) AS micro_f05"""
 
 
+# ---- SQL of the similarity kernels ----------------------------------------------------------------------------------
+
+#: Longest common subsequence of the columns a and b by dynamic programming, one row of the table for each letter of b.
+_LCS = """list_reduce(string_split(b, ''), lambda r, c: list_reduce(range(1, length(a) + 1), lambda n, j: list_append(n, greatest(r[j + 1], n[j], CASE WHEN a[j] = c THEN r[j] + 1 ELSE 0 END)), [0::BIGINT]),
+  list_transform(range(0, length(a) + 1), lambda i: 0::BIGINT))[length(a) + 1]"""
+_SORTED = "array_to_string(list_sort(" + _TOKS.format("{}") + "), ' ')"
+_SET = "list_sort(list_distinct(" + _TOKS.format("{}") + "))"
+#: What two token sets share, and what is shared with what one side adds.
+_BOTH = "list_filter({0}, lambda t: list_contains({1}, t))"
+_MORE = "array_to_string(list_concat(" + _BOTH + ", list_filter({0}, lambda t: NOT list_contains({1}, t))), ' ')"
+
+
+def _token_set(tag: str) -> str:
+    both = f"length(array_to_string({tag}_b, ' '))"
+    part = lambda side: f"2.0 * {both} / ({both} + length({tag}_{side}))"
+    return f"""(CASE WHEN len({tag}_x) = 0 OR len({tag}_y) = 0 THEN 0.0 WHEN len({tag}_b) > 0 AND len({tag}_b) = least(len({tag}_x), len({tag}_y)) THEN 1.0
+  ELSE greatest({tag}_r, CASE WHEN len({tag}_b) > 0 THEN greatest({part("p")}, {part("q")}) ELSE 0.0 END) END)"""
+
+
+def _compared(pairs_: str, plain: dict[str, str], sets: dict[str, str], partial: dict[str, str]) -> str:
+    """CTEs up to ``ks``: the rows of ``pairs_`` (with q_* and c_*) and the kernels of the fields wanted."""
+    raw = ", ".join(f"{e.format('q_')} AS {t}_a, {e.format('c_')} AS {t}_z" for t, e in plain.items())
+    raw += "".join(f", {_SET.format('q_' + v)} AS {t}_x, {_SET.format('c_' + v)} AS {t}_y" for t, v in sets.items())
+    made = "".join(f", {_BOTH.format(t + '_x', t + '_y')} AS {t}_b, {_MORE.format(t + '_x', t + '_y')} AS {t}_p, {_MORE.format(t + '_y', t + '_x')} AS {t}_q" for t in sets)
+    both = [(f"{t}_a", f"{t}_z") for t in plain] + [(f"{t}_p", f"{t}_q") for t in sets]
+    asked = " UNION ALL ".join(f"SELECT {a}, {b} FROM k2" for a, b in both)
+    wins = " UNION ALL ".join(f"SELECT q_{v}, c_{v} FROM k2" for v in partial.values()) or "SELECT '' AS a, '' AS b"
+    joins = "".join(f" LEFT JOIN lv AS l{n} ON l{n}.a = {a} AND l{n}.b = {b}" for n, (a, b) in enumerate(both))
+    joins += "".join(f" LEFT JOIN lw AS w{n} ON w{n}.x = q_{v} AND w{n}.y = c_{v}" for n, v in enumerate(partial.values()))
+    out = ", ".join(f"l{n}.r AS {t}_r" for n, t in enumerate([*plain, *sets])) + "".join(f", w{n}.r AS {t}_r" for n, t in enumerate(partial))
+    return f"""k1 AS (SELECT *, {raw} FROM {pairs_}), k2 AS (SELECT *{made} FROM k1),
+lp AS (SELECT DISTINCT * FROM ({asked}) t(a, b)), lv AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * {_LCS} / (length(a) + length(b)) END AS r FROM lp),
+wp AS (SELECT DISTINCT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l FROM ({wins}) t(x, y)),
+ww AS (SELECT DISTINCT a, l, l[greatest(0, e - length(a)) + 1 : least(e, length(l))] AS b FROM (SELECT a, l, unnest(range(1, length(l) + length(a))) AS e FROM (SELECT DISTINCT a, l FROM wp WHERE a <> '' AND NOT contains(l, a)))),
+wl AS (SELECT a, b, 2.0 * {_LCS} / (length(a) + length(b)) AS r FROM (SELECT DISTINCT a, b FROM ww)),
+lw AS (SELECT x, y, CASE WHEN wp.a = '' THEN CASE WHEN wp.l = '' THEN 1.0 ELSE 0.0 END WHEN contains(wp.l, wp.a) THEN 1.0 ELSE g.r END AS r FROM wp LEFT JOIN (SELECT a, l, max(r) AS r FROM ww JOIN wl USING (a, b) GROUP BY a, l) g USING (a, l)),
+ks AS (SELECT k2.*, {out} FROM k2{joins})"""
+
+
+_VIEWS = ("nm_full", "nm_core", "nm_compact", "nm_skel", "ad_full", "ad_core", "ad_num", "ad_alpha", "ctry", "n_set", "a_set", "d_set")
+_SIDES = ", ".join(f"q.{v} AS q_{v}, p.{v} AS c_{v}" for v in _VIEWS)
+_ATTACHED = f"(SELECT c.*, {_SIDES} FROM {{}} c JOIN v q ON q.entity_id = c.source1_entity_id JOIN v p ON p.entity_id = c.cand_id)"
+_SHARED = "len(list_intersect(q_{0}, c_{0}))::DOUBLE"
+
+_RERANKED = f"""(WITH {_compared(_ATTACHED.format("cand"), {"name": "{}nm_compact"}, {"words": "nm_core", "place": "ad_core"}, {})}
+SELECT source1_entity_id, cand_id, n_keys, rr_score FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY rr_score DESC, cand_id) AS rk FROM (
+  SELECT source1_entity_id, cand_id, n_keys, 0.5 * greatest(name_r, {_token_set("words")}) + 0.28 * {_token_set("place")}
+    + 0.14 * (CASE WHEN len(q_d_set) = 0 OR len(c_d_set) = 0 THEN 0.5 ELSE {_SHARED.format("d_set")} / least(len(q_d_set), len(c_d_set)) END) + 0.08 * least(n_keys / 4, 1.0) AS rr_score FROM ks)) WHERE rk <= 80)"""
+
+_FEATURE_PAIRS = f"""(WITH rr AS {_RERANKED}, cx AS (SELECT *, row_number() OVER o AS rr_rank, max(rr_score) OVER w AS rr_best, count(*) OVER w AS n_cand,
+  coalesce(nth_value(rr_score, 2) OVER (PARTITION BY source1_entity_id ORDER BY rr_score DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS rr_second
+  FROM rr WINDOW w AS (PARTITION BY source1_entity_id), o AS (PARTITION BY source1_entity_id ORDER BY rr_score DESC, cand_id))
+SELECT c.*, {_SIDES}, coalesce(q.d_set[1], '') AS q_first, coalesce(p.d_set[1], '') AS c_first FROM cx c JOIN v q ON q.entity_id = c.source1_entity_id JOIN v p ON p.entity_id = c.cand_id)"""
+
+
+def _grams(a: str, b: str, n: int) -> str:
+    grams = lambda s: f"list_distinct(list_transform(range(1, greatest(length({s}) - {n - 1}, 1) + 1), lambda i: {s}[i : i + {n - 1}]))"
+    same = f"len(list_intersect({grams(a)}, {grams(b)}))"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {same}::DOUBLE / (len({grams(a)}) + len({grams(b)}) - {same}) END)"
+
+
+def _of_sets(tag: str, v: str) -> dict[str, str]:
+    na, nb, n = f"len(q_{v})", f"len(c_{v})", _SHARED.format(v)
+    names = ("shared", "jaccard", "containment", "coverage", "q", "c")
+    return dict(zip((f"{tag}_{x}" for x in names), (n, f"{n} / greatest({na} + {nb} - {n}, 1)", f"{n} / greatest(least({na}, {nb}), 1)", f"{n} / greatest({na}, {nb}, 1)", na, nb), strict=True))
+
+
+def _features_sql() -> str:
+    kernels = _compared(
+        _FEATURE_PAIRS,
+        {"nlev": "{}nm_compact", "skel": "{}nm_skel", "nsort": _SORTED.format("{}nm_core"), "alev": "{}ad_core", "asort": _SORTED.format("{}ad_core"), "first": "{}first"},
+        {"nset": "nm_core", "aset": "ad_core", "num": "ad_num"}, {"npart": "nm_compact", "apart": "ad_full"},
+    )
+    flag = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+    ratio = lambda v: f"least(length(q_{v}), length(c_{v}))::DOUBLE / greatest(length(q_{v}), length(c_{v}), 1)"
+    differ = lambda v: f"abs(length(q_{v}) - length(c_{v}))"
+    both = flag("q_first <> '' AND c_first <> ''")
+    common = lambda a, b: f"list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda i: {a}[1:i] = {b}[1:i] OR i = 0))"
+    affix = lambda a, b: f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE {common(a, b)}::DOUBLE / greatest(length({a}), length({b})) END) * {both}"
+    short = "q_first <> '' AND c_first <> '' AND length(q_first) < 10 AND length(c_first) < 10"
+    numbers = "coalesce(TRY_CAST(q_first AS BIGINT), 0), coalesce(TRY_CAST(c_first AS BIGINT), 0)"
+    usable = flag("q_ad_full <> '' AND c_ad_full <> ''")
+    name_best, address_best = f"greatest(nlev_r, {_token_set('nset')})", f"greatest(alev_r, {_token_set('aset')})"
+    exact = {x: flag(f"q_{x} = c_{x}") for x in ("nm_core", "nm_compact", "nm_skel", "nm_full", "ad_core")}
+    first_eq = flag("q_first = c_first AND q_first <> ''")
+    squeezed = "replace(q_ad_core, ' ', '')", "replace(c_ad_core, ' ', '')"
+    num = _of_sets("num", "d_set")
+    del num["num_coverage"]
+    made = {
+        **{f"{x}_exact": e for x, e in exact.items()}, "nm_lev_compact": "nlev_r",
+        "nm_jw_compact": "(CASE WHEN q_nm_compact = c_nm_compact THEN 1.0 WHEN q_nm_compact = '' OR c_nm_compact = '' THEN 0.0 ELSE jaro_winkler_similarity(q_nm_compact, c_nm_compact) END)",
+        "nm_lev_skel": "skel_r", "nm_tok_sort": "nsort_r", "nm_tok_set": _token_set("nset"), "nm_partial": "npart_r",
+        "nm_char3_jacc": _grams("q_nm_compact", "c_nm_compact", 3), "nm_char4_jacc": _grams("q_nm_compact", "c_nm_compact", 4),
+        **_of_sets("nm_tok", "n_set"), "nm_tok_diff": "abs(len(q_n_set) - len(c_n_set))",
+        "nm_len_ratio": ratio("nm_compact"), "nm_len_q": "length(q_nm_compact)", "nm_len_diff": differ("nm_compact"),
+        "ad_q_empty": flag("q_ad_full = ''"), "ad_c_empty": flag("c_ad_full = ''"),
+        "ad_lev_core": "alev_r", "ad_tok_sort": "asort_r", "ad_tok_set": _token_set("aset"), "ad_partial": "apart_r",
+        "ad_char3_jacc": _grams(*squeezed, 3), **_of_sets("ad_tok", "a_set"), **num,
+        "num_any_shared": flag(f"{_SHARED.format('d_set')} > 0"), "num_none_either": flag("len(q_d_set) = 0 OR len(c_d_set) = 0"),
+        "num_first_eq": first_eq, "num_first_both_present": both, "num_first_lev": f"first_r * {both}",
+        "num_first_prefix": affix("q_first", "c_first"), "num_first_postfix": affix("reverse(q_first)", "reverse(c_first)"), "num_first_len_diff": differ("first"),
+        "num_first_is_prefix": f"{both} * {flag('starts_with(q_first, c_first) OR starts_with(c_first, q_first)')}",
+        "num_first_one_digit_off": f"{both} * {flag('length(q_first) = length(c_first) AND len(list_filter(range(1, length(q_first) + 1), lambda i: q_first[i] <> c_first[i])) = 1')}",
+        "num_first_rel_diff": f"(CASE WHEN {short} THEN abs({numbers.replace(', coalesce', ' - coalesce')})::DOUBLE / greatest({numbers}, 1) ELSE 0.0 END)",
+        "num_any_lev": _token_set("num"), "ad_len_ratio": ratio("ad_core"), "ad_len_diff": differ("ad_core"),
+        "country_eq": flag("q_ctry = c_ctry"), "is_s3": flag("cand_id LIKE 'S3-%'"),
+        "nm_x_ad": f"{name_best} * {address_best}", "nm_minus_ad": f"{name_best} - {address_best}", "ad_usable": usable, "nm_x_ad_usable": f"{name_best} * {usable}",
+        "exact_agreement": f"{exact['nm_core']} + {exact['ad_core']} + {first_eq}",
+        "rr_score": "rr_score", "rr_rank": "rr_rank", "rr_best": "rr_best", "rr_margin": "rr_score - rr_best", "rr_rel": "rr_score / greatest(rr_best, 1e-6)", "rr_second": "rr_second",
+        "rr_top_gap": "rr_best - rr_second", "n_cand": "n_cand", "n_keys": "n_keys",
+    }
+    columns = ", ".join(f"round(({e})::DOUBLE, 6) AS {n}" for n, e in made.items())
+    return f"SELECT source1_entity_id, cand_id, {columns} FROM (WITH {kernels} SELECT * FROM ks)"
+
+
 # ---- inputs --------------------------------------------------------------------------------------------------------
 
 
@@ -351,12 +466,12 @@ def spelling_similarity(spark, d):
     return rows.select("source1_entity_id", "cand_id", F.round(S.kernel("jaro_winkler", a, b), 6).alias("jw"), F.round(S.levenshtein_similarity(a, b), 6).alias("lev"))
 
 
-@query()
+@query(f"SELECT source1_entity_id, cand_id, n_keys, round(rr_score, 6) AS rr_score FROM {_RERANKED}")
 def reranked_candidates(spark, d):
     return rounded(reranked(spark, d)).withColumn("n_keys", F.col("n_keys").cast("int"))
 
 
-@query()
+@query(_features_sql())
 def pair_features_all(spark, d):
     rows, names = resolve.featurise(reranked(spark, d), views(spark, d))
     return rows.select("source1_entity_id", "cand_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
@@ -372,7 +487,9 @@ def fitted_matches(spark, d):
     return decision.apply(out, decision.PRODUCTION)
 
 
-@query()
+@query(f"""SELECT source1_entity_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY p DESC, cand_id) AS rk FROM (
+  SELECT *, max(p) OVER (PARTITION BY source1_entity_id) AS best FROM (SELECT *, 1 / (1 + exp(-20 * (rr_score - 0.72))) AS p FROM {_RERANKED}))
+  WHERE (p >= 0.88 AND p >= best * 0.95) OR (rr_score >= 0.74 AND p >= 0.65)) WHERE rk <= 11""")
 def resolved_matches(spark, d):
     return resolve.decide(reranked(spark, d), views(spark, d))
 
