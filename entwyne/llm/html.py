@@ -5,20 +5,21 @@
 2. The words of all blocks of the pages of one host are put one page after the other, with a mark of its own between
    pages, and their suffixes are sorted by prefix doubling to a depth of ``DEPTH`` words. Neighbours that agree so far and
    come from enough distinct pages cover their words: the union of these is every substring of that length or more that
-   the pages share.
-3. Outside an article or main element, a path most of whose words on the host are covered is template (menus, notices,
-   adverts, footers): covered runs on it are removed, unique runs stay.
+   the pages share. Enough is ``MANY_PAGES``, on a small host half of its distinct pages, and ``LEAST_PAGES`` at least.
+3. On pages without an article or main element, a path most of whose words on the host are covered is template (menus,
+   notices, adverts, footers): covered runs on it are removed, unique runs stay.
 4. Inside an article or main element, copies of an article and quotations are no boilerplate. A substring counts there by
    the distinct texts it stands in, told by the heads of the three longest other blocks of the page, so that copies count
    once; and only where such substrings cover nearly all of a block are they removed.
-5. Elements that are no article by their meaning (nav, footer, aside, form, ...; classes and roles that say so) are left
-   out; where a page has an article or main element, so is what stands outside it. This also serves hosts with too few
-   pages to compare.
+5. Elements that are no article by their meaning are left out: nav, footer, aside and the like, roles, and classes or ids
+   all of whose parts say so; a form, unless it wraps most of the page's words. Where a page has an article or main
+   element, so is what stands outside it. This also serves hosts with too few pages to compare.
 
-A host of over ``GROUP_PAGES`` pages is not sorted in one task: its substrings of ``DEPTH`` words go by 64-bit digests. A
-counting filter leaves out those that are on fewer than ``CONTENT_PAGES`` pages for certain, the others are counted exactly
-over the whole host, and a second count gives the coverage of its paths. ``CONTENT_PAGES`` is the bound for every such
-host, inside of content and outside; every page is processed whole.
+A host of over ``GROUP_PAGES`` distinct pages or ``GROUP_CHARS`` is not sorted in one task. Its pages are parsed into a
+written table, and its substrings of ``DEPTH`` words go by 64-bit digests: a counting filter of a fixed size
+leaves out those that are on too few pages for certain, tasks reduce the others to as many distinct pages and texts as the bound asks for, these are
+counted over the whole host, and a second count gives the coverage of its paths. Bounds are the same on either way; every
+page is processed whole.
 
 Defined results: null and empty html give the empty text and no characters; a null url belongs to a host of its own; of
 repeated rows each gets its text (they count as one page where substrings are compared); an empty table gives no rows;
@@ -39,24 +40,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwyne.llm.common import materialise
-from entwyne.llm.linedup import SEGMENT, Suspected, _places, slots_for
+from entwyne.llm.common import discard, materialise
+from entwyne.llm.linedup import SEGMENT, slots_for
 
-GROUP_PAGES, DEPTH = 128, 8
-#: Distinct pages that must hold a substring on a smaller host; share of a path's words that makes it template.
-LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
-#: Distinct texts (half of the pages on a smaller host) that must hold a substring of content; share of a block it must cover.
-CONTENT_PAGES, CONTENT_SHARE, HEAD = 8, 0.8, 6
+GROUP_PAGES, GROUP_CHARS, DEPTH = 128, 8_000_000, 8
+#: Distinct pages, or inside content distinct texts, that must hold a substring.
+MANY_PAGES, LEAST_PAGES = 8, 3
+#: Share of a path's words that makes it template; share of a block of content that must be covered; words of a head.
+TEMPLATE_SHARE, CONTENT_SHARE, HEAD = 0.5, 0.8, 6
 #: Boilerplate substrings of large hosts held at a time (8 bytes each); with more, hosts are taken in several turns.
-BROADCAST_WINDOWS, SLOTS_PER_PAGE = 2_000_000, 1024
+BROADCAST_WINDOWS, SLOTS_PER_PAGE, HELD_OCCURRENCES = 2_000_000, 512, 1_000_000
 #: Hosts of several groups that are sent to all executors (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
+#: Large hosts whose template paths are held at a time (some tens each).
+HOSTS_PER_TURN = 20_000
 
 # Elements by their meaning in HTML, and words of class, id and role that say what a part is.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math canvas object video audio select title noframes noembed".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NO_CONTENT = frozenset("nav footer aside form menu dialog button head dir".split())
+_NO_CONTENT = frozenset("nav footer aside menu dialog button head dir".split())
 _CONTENT = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus footer masthead pager pagination widget banner disclaimer".split())
@@ -70,25 +73,50 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 def _says_no_content(attrs: str) -> bool:
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and any(w in _WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-        if name == "role" and value.strip() in _ROLES:
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = [w for w in re.split(r"[^a-z]+", token) if w]
+                if parts and _WORDS.issuperset(parts):
+                    return True
+        elif name == "role" and value.strip() in _ROLES:
             return True
     return False
 
 
 class Block:
-    __slots__ = ("content", "no_content", "path", "words")
+    """Text with one space between words, its words, and where it stands."""
+
+    __slots__ = ("content", "form", "n", "no_content", "path", "text")
+
+    def __init__(self, text: str, path: str, content: bool, no_content: bool, form: int = 0):
+        self.text, self.n, self.path, self.content, self.no_content, self.form = text, text.count(" ") + 1, path, content, no_content, form
+
+    @property
+    def words(self) -> list[str]:
+        return self.text.split(" ")
+
+
+def _has_content(own: list[Block]) -> bool:
+    return any(b.content and not b.no_content for b in own)
 
-    def __init__(self, words: list[str], path: str, content: bool, no_content: bool):
-        self.words, self.path, self.content, self.no_content = words, path, content, no_content
+
+def _drop_forms(own: list[Block]) -> None:
+    """A form is no content, unless it wraps most of the words that are left."""
+    in_form: dict[int, int] = defaultdict(int)
+    for b in own:
+        if not b.no_content:
+            in_form[b.form] += b.n
+    whole = sum(in_form.values())
+    for b in own:
+        if b.form and 2 * in_form[b.form] <= whole:
+            b.no_content = True
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks in order."""
     text = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, inside content, no content, path
+    stack: list[tuple[str, bool, bool, str, int]] = []  # tag, inside content, no content, path, outermost form
     held: list[str] = []
     is_open: dict[str, int] = defaultdict(int)
 
@@ -102,10 +130,10 @@ def blocks(page: str | None) -> list[Block]:
             words = _html.unescape("".join(held)).split()
             held.clear()
             if words:
-                _, content, none, path = stack[-1] if stack else ("", False, False, "")
-                out.append(Block(words, path, content, none))
+                _, content, none, path, form = stack[-1] if stack else ("", False, False, "", 0)
+                out.append(Block(" ".join(words), path, content, none, form))
 
-    at, n = 0, len(text)
+    at, n, forms = 0, len(text), 0
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
@@ -150,14 +178,19 @@ def blocks(page: str | None) -> list[Block]:
                     break
         elif stack and stack[-1][0] == "p":
             close(len(stack) - 1)
-        _, content, none, path = stack[-1] if stack else ("", False, False, "")
+        _, content, none, path, form = stack[-1] if stack else ("", False, False, "", 0)
+        if tag == "form" and not form:
+            forms += 1
+            form = forms
         if tag in _CONTENT and not content:
             content, none = True, False  # an element left open in front of it doesn't swallow the article
         none = none or tag in _NO_CONTENT or (tag == "header" and not content) or bool(m[3] and _says_no_content(m[3]))
         css = re.search(r"class\s*=\s*[\"']?([\w-]+)", m[3]) if m[3] else None
-        stack.append((tag, content, none, f"{path}/{tag}" + (f".{css[1]}" if css else "") if len(path) < 300 else path))
+        stack.append((tag, content, none, f"{path}/{tag}" + (f".{css[1]}" if css else "") if len(path) < 300 else path, form))
         is_open[tag] += 1
     flush()
+    if forms:
+        _drop_forms(out)
     return out
 
 
@@ -202,42 +235,45 @@ def shared(ids: np.ndarray, page: np.ndarray, least: int, depth: int = DEPTH) ->
 
 def around(own: list[Block]) -> np.ndarray:
     """Per word three digests that tell its text from others (heads of the longest other content blocks); -1 for none."""
-    heads = sorted((-len(b.words), k, xxhash.xxh3_64_intdigest(" ".join(b.words[:HEAD])) >> 1) for k, b in enumerate(own) if b.content and not b.no_content)[:4]
-    out = np.full((3, sum(len(b.words) for b in own)), -1, np.int64)
+    longest = sorted((-b.n, k) for k, b in enumerate(own) if b.content and not b.no_content)[:4]
+    heads = [(k, xxhash.xxh3_64_intdigest(" ".join(own[k].text.split(" ", HEAD)[:HEAD])) >> 1) for _, k in longest]
+    out = np.full((3, sum(b.n for b in own)), -1, np.int64)
     at = 0
     for k, b in enumerate(own):
         if b.content and not b.no_content:
-            for j, h in enumerate([h for _, i, h in heads if i != k][:3]):
-                out[j, at : at + len(b.words)] = h
-        at += len(b.words)
+            for j, h in enumerate([h for i, h in heads if i != k][:3]):
+                out[j, at : at + b.n] = h
+        at += b.n
     return out
 
 
 def _rows(own: list[Block], mark: np.ndarray) -> list[np.ndarray]:
-    return np.split(mark, np.cumsum([len(b.words) for b in own])[:-1]) if own else []
+    return np.split(mark, np.cumsum([b.n for b in own])[:-1]) if own else []
 
 
 def _count_paths(own: list[Block], covered: np.ndarray, hit: dict, total: dict, key=lambda path: path) -> None:
-    for b, row in zip(own, _rows(own, covered), strict=True):
-        if not b.content:
-            total[key(b.path)] += len(b.words)
+    """Words by path on a page without an article or main element; where it has one, its paths decide nothing."""
+    if not _has_content(own):
+        for b, row in zip(own, _rows(own, covered), strict=True):
+            total[key(b.path)] += b.n
             hit[key(b.path)] += int(row.sum())
 
 
 def _text(own: list[Block], covered: np.ndarray, inside: np.ndarray, is_template) -> str:
     """The text of a page from its words covered by any pages and by distinct texts."""
-    has_content = any(b.content and not b.no_content for b in own)
+    has_content = _has_content(own)
     lines = []
     for b, mark, common in zip(own, _rows(own, covered), _rows(own, inside), strict=True):
         if b.no_content or (has_content and not b.content):
             continue
         if b.content:
-            gone = common if common.sum() >= CONTENT_SHARE * len(b.words) else None
+            gone = common if common.sum() >= CONTENT_SHARE * b.n else None
         else:
             gone = mark if is_template(b.path) else None
-        words = b.words if gone is None else [w for w, c in zip(b.words, gone.tolist(), strict=True) if not c]
-        if words:
-            lines.append(" ".join(words))
+        if gone is None or not gone.any():
+            lines.append(b.text)
+        elif not gone.all():
+            lines.append(" ".join(w for w, c in zip(b.words, gone.tolist(), strict=True) if not c))
     return "\n".join(lines)
 
 
@@ -258,14 +294,14 @@ def extract(pages: list[str | None]) -> list[str]:
     covered, inside = np.zeros(n, bool), np.zeros(n, bool)
     if len(same) >= LEAST_PAGES and n >= DEPTH:
         rank = suffix_ranks(np.array(ids, np.int64), DEPTH)
-        covered = _cover(rank, np.array(page, np.int64), LEAST_PAGES, DEPTH)
-        least = min(CONTENT_PAGES, max(LEAST_PAGES, -(-len(same) // 2)))
+        least = min(MANY_PAGES, max(LEAST_PAGES, -(-len(same) // 2)))
+        covered = _cover(rank, np.array(page, np.int64), least, DEPTH)
         for label in np.concatenate([np.pad(around(bs), ((0, 0), (0, 1)), constant_values=-1) for bs in own], axis=1):
             inside |= _cover(rank, label, least, DEPTH)
     places, at = [], 0
     hit, total = defaultdict(int), defaultdict(int)
     for bs in own:
-        size = sum(len(b.words) for b in bs)
+        size = sum(b.n for b in bs)
         places.append((covered[at : at + size], inside[at : at + size]))
         _count_paths(bs, places[-1][0], hit, total)
         at += size + 1
@@ -273,51 +309,87 @@ def extract(pages: list[str | None]) -> list[str]:
     return [_text(bs, *marks, template.__contains__) for bs, marks in zip(own, places, strict=True)]
 
 
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(DEPTH)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n`` of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
 
 
 def digests(own: list[Block], host: int) -> np.ndarray:
-    """64-bit digests of the page's substrings of ``DEPTH`` words, by place; the host is part of them."""
-    words = np.array([xxhash.xxh3_64_intdigest(w) for b in own for w in b.words], np.uint64)
-    n = len(words) - DEPTH + 1
-    if n < 1:
+    """64-bit digests of the page's substrings of ``DEPTH`` words, by place; the host is part of them.
+
+    A substring's digest is the difference of two prefix sums over its letters, moved to the same place.
+    """
+    raw = np.frombuffer(" ".join(b.text for b in own).encode("utf-8", "surrogatepass"), np.uint8)
+    spaces = np.flatnonzero(raw == 32)
+    if len(spaces) + 1 < DEPTH:
         return np.zeros(0, np.int64)
-    h = np.full(n, host & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for j in range(DEPTH):
-        h += words[j : j + n] * _FACTORS[j]
+    start, end = np.concatenate([[0], spaces + 1])[: 1 - DEPTH], np.concatenate([spaces, [len(raw)]])[DEPTH - 1 :]
+    power, inverse = _power(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTERS[raw] * power[: len(raw)], out=sums[1:])
+    h = (sums[end] - sums[start]) * inverse[start] + np.uint64(host & 0xFFFFFFFFFFFFFFFF)
     for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+_PARSED = "page_id long, url string, host long, least int, page long, plain boolean, texts array<string>, paths array<string>, flags array<tinyint>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 32):
+            part = batch.slice(at, 32)
+            htmls = part.column("html").to_pylist()
+            own = [blocks(h) for h in htmls]
+            yield pa.RecordBatch.from_arrays([
+                *[part.column(c) for c in ("page_id", "url", "host", "least")], pa.array([xxhash.xxh3_64_intdigest(h or "") >> 1 for h in htmls], pa.int64()), pa.array([not _has_content(bs) for bs in own], pa.bool_()),
+                pa.array([[b.text for b in bs] for bs in own], pa.list_(pa.string())), pa.array([[b.path for b in bs] for bs in own], pa.list_(pa.string())),
+                pa.array([[b.content + 2 * b.no_content for b in bs] for bs in own], pa.list_(pa.int8())),
+            ], ["page_id", "url", "host", "least", "page", "plain", "texts", "paths", "flags"])
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches with (host, html, blocks, digests) of their rows."""
+    """Batches of parsed pages with (host, least, page, blocks, digests) of their rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
             rows = []
-            for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                own = blocks(html)
-                rows.append((host, html or "", own, digests(own, host)))
+            for host, least, page, texts, paths, flags in zip(*(part.column(c).to_pylist() for c in ("host", "least", "page", "texts", "paths", "flags")), strict=True):
+                own = [Block(t, p, bool(f & 1), bool(f & 2)) for t, p, f in zip(texts, paths, flags, strict=True)]
+                rows.append((host, least, page, own, digests(own, host)))
             yield part, rows
 
 
-def _add(tally: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
-    for place in _places(w.view(np.uint64), len(tally)):
-        at, back = np.unique(place, return_inverse=True)
-        tally[at] = np.minimum(tally[at] + np.bincount(back, weights=counts), CONTENT_PAGES)
+def _place(w: np.ndarray, slots: int) -> np.ndarray:
+    return (w & np.int64(slots - 1)).astype(np.int64)
 
 
 def _tally(slots: int):
-    """Saturating counts of pages by place of their substrings' digests: never too low, so what stays below is rare."""
+    """Saturating counts of pages by place of their substrings' digests: never too low, so what stays below ``MANY_PAGES``
+    is rare. Pages of a host with a lower bound count for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, packer = np.zeros(slots, np.uint8), zstandard.ZstdCompressor(level=1)
         for _, rows in _pages(batches):
-            _add(tally, *np.unique(np.concatenate([np.unique(r[3]) for r in rows]), return_counts=True))
+            found = [(np.unique(w), -(-MANY_PAGES // least)) for _, least, _, _, w in rows]
+            at, back = np.unique(_place(np.concatenate([x for x, _ in found]), slots), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([np.full(len(x), k) for x, k in found]), minlength=len(at))
+            tally[at] = np.minimum(tally[at] + counts, MANY_PAGES)
         step = min(SEGMENT, slots)
-        segs = [at // step for at in range(0, slots, step) if tally[at : at + step].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), pa.array([packer.compress(tally[s * step : (s + 1) * step].tobytes()) for s in segs], pa.binary())], ["seg", "n"])
+        for s in range(0, slots, step):
+            if tally[s : s + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([s // step], pa.int32()), pa.array([packer.compress(tally[s : s + step].tobytes())], pa.binary())], ["seg", "n"])
 
     return run
 
@@ -327,44 +399,59 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for seg, n in zip(batch.column(0), batch.column(1), strict=True):
             own = np.frombuffer(opener.decompress(n.as_py()), np.uint8)
-            held[seg.as_py()] = np.minimum(held[seg.as_py()] + own, CONTENT_PAGES) if seg.as_py() in held else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v >= CONTENT_PAGES).tobytes() for v in held.values()], pa.binary())], ["seg", "many"])
+            held[seg.as_py()] = np.minimum(held[seg.as_py()] + own, MANY_PAGES) if seg.as_py() in held else own
+    many = [np.packbits(v >= MANY_PAGES, bitorder="little").tobytes() for v in held.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(many, pa.binary())], ["seg", "many"])
 
 
 def _frequent(pages: DataFrame, slots: int) -> bytes:
-    """Packed filter of the digests that may be on ``CONTENT_PAGES`` pages."""
-    parts = pages.mapInArrow(_tally(slots), "seg int, n binary")
+    """Packed filter of the digests that may be on enough pages."""
     step = min(SEGMENT, slots) // 8
     out = bytearray(slots // 8)
+    parts = pages.mapInArrow(_tally(slots), "seg int, n binary")
     for row in parts.repartition(max(1, min(16, slots // SEGMENT)), "seg").mapInArrow(_merge, "seg int, many binary").toLocalIterator():
         out[row.seg * step : (row.seg + 1) * step] = row.many
     return bytes(out)
 
 
+def _reduced(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Of each substring the distinct pages and texts, as many as a bound can ask for."""
+    w, kind, label, host, least = np.concatenate(held, axis=1)
+    order = np.lexsort((label, kind, w))
+    w, kind, label, host, least = (x[order] for x in (w, kind, label, host, least))
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (kind[1:] != kind[:-1])]) if len(w) else np.zeros(0, bool)
+    fresh = new.copy()
+    fresh[1:] |= label[1:] != label[:-1]
+    nth = np.cumsum(fresh)
+    keep = fresh & (nth - np.maximum.accumulate(np.where(new, nth, 0)) < MANY_PAGES)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (host, least, w, kind, label)], ["host", "least", "w", "kind", "label"])
+
+
 def _occurrences(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Suspected(filter_.value)
+        seen, held, n = np.frombuffer(filter_.value, np.uint8), [], 0
         for _, rows in _pages(batches):
-            out = [np.zeros((6, 0), np.int64)]
-            for host, html, own, w in rows:
-                hit = np.flatnonzero(seen(w.view(np.uint64)))
+            for host, least, page, own, w in rows:
+                place = _place(w, 8 * len(seen))
+                hit = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 if not len(hit):
                     continue
-                labels = around(own)[:, hit]
-                order = np.argsort(labels[0] < 0, kind="stable")
-                order = order[np.unique(w[hit][order], return_index=True)[1]]
-                fixed = np.array([[host], [xxhash.xxh3_64_intdigest(html) >> 1]], np.int64).repeat(len(order), axis=1)
-                out.append(np.concatenate([fixed, w[hit][order][None], labels[:, order]]))
-            host, page, w, *labels = np.concatenate(out, axis=1)
-            cols = [pa.array(host), pa.array(w), pa.array(page), *[pa.array(x, mask=x < 0) for x in labels]]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "w", "page", "a", "b", "c"])
+                labels = np.concatenate([np.full((1, len(hit)), page), around(own)[:, hit]])
+                kind, at = np.nonzero(labels >= 0)
+                held.append(np.stack([w[hit][at], kind, labels[kind, at], np.full(len(at), host), np.full(len(at), least)]))
+                n += len(at)
+            if n >= HELD_OCCURRENCES:
+                yield _reduced(held)
+                held, n = [], 0
+        if held:
+            yield _reduced(held)
 
     return run
 
 
 def _marks(own: list[Block], w: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """Words covered by any pages, and by distinct texts; ``known``: sorted digests of both."""
-    n, out = sum(len(b.words) for b in own), []
+    n, out = sum(b.n for b in own), []
     for k in known:
         at = np.searchsorted(k, w)
         out.append(_spread(k[np.minimum(at, len(k) - 1)] == w if len(k) else np.zeros(len(w), bool), n))
@@ -379,7 +466,7 @@ def _paths(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _pages(batches):
             hit, total = defaultdict(int), defaultdict(int)
-            for host, _, own, w in rows:
+            for host, _, _, own, w in rows:
                 _count_paths(own, _marks(own, w, known.value)[0], hit, total, lambda path, host=host: _path_key(host, path))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(hit.values()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["path", "hit", "total"])
 
@@ -389,31 +476,31 @@ def _paths(known):
 def _texts(known, template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _pages(batches):
-            texts = [_text(own, *_marks(own, w, known.value), lambda path, host=host: _path_key(host, path) in template.value) for host, _, own, w in rows]
+            texts = [_text(own, *_marks(own, w, known.value), lambda path, host=host: _path_key(host, path) in template.value) for host, _, _, own, w in rows]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def _large_hosts(rows: DataFrame, n_pages: int, windows: int) -> Iterator[DataFrame]:
+def _large_hosts(rows: DataFrame, n_hosts: int, n_pages: int, windows: int) -> Iterator[DataFrame]:
     """Main texts of the pages of large hosts, in one turn or more."""
     context = rows.sparkSession.sparkContext
-    named = rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"))
-    filter_ = context.broadcast(_frequent(named, slots_for(n_pages, SLOTS_PER_PAGE)))
-    met = named.mapInArrow(_occurrences(filter_), "host long, w long, page long, a long, b long, c long")
-    texts = F.greatest(*[F.count_distinct(c) for c in "abc"])
-    counted = met.groupBy("host", "w").agg((F.count_distinct("page") >= CONTENT_PAGES).alias("any"), (texts >= CONTENT_PAGES).alias("inside"))
-    counted = materialise(counted.where(F.col("any") | F.col("inside")), "windows")
-    turns = max(1, -(-counted.count() // windows))
+    parsed = materialise(rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"), "least").mapInArrow(_parse, _PARSED), "parsed", compression="zstd")
+    filter_ = context.broadcast(_frequent(parsed, slots_for(n_pages, SLOTS_PER_PAGE)))
+    met = parsed.mapInArrow(_occurrences(filter_), "host long, least long, w long, kind long, label long")
+    counted = met.groupBy("host", "w", "kind", "least").agg(F.count_distinct("label").alias("n")).where("n >= least")
+    counted = materialise(counted.groupBy("host", "w").agg(F.min("kind").alias("kind"), (F.max("kind") > 0).alias("inside")).select("host", "w", (F.col("kind") == 0).alias("any"), "inside"), "windows")
+    turns = max(1, -(-counted.count() // windows), -(-n_hosts // HOSTS_PER_TURN))
     turn = F.pmod(F.xxhash64("host"), F.lit(turns))
     for k in range(turns):
         found = counted.where(turn == k).select("w", "any", "inside").toArrow()
         w = found.column("w").to_numpy()
         known = context.broadcast(tuple(np.sort(w[found.column(c).to_numpy()]) for c in ("any", "inside")))
-        own = named.where(turn == k)
-        covered = own.mapInArrow(_paths(known), "path long, hit long, total long").groupBy("path").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total"))
-        template = context.broadcast({r.path for r in covered.where(F.col("hit") >= TEMPLATE_SHARE * F.col("total")).collect()})
+        own = parsed.where(turn == k)
+        covered = own.where("plain").mapInArrow(_paths(known), "path long, hit long, total long").groupBy("path").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total"))
+        template = context.broadcast({r.path for r in covered.where(F.col("hit") >= TEMPLATE_SHARE * F.col("total")).select("path").collect()})
         yield own.mapInArrow(_texts(known, template), _RESULT)
+    discard(counted)
 
 
 _RESULT = "page_id long, url string, text string, n_chars long"
@@ -428,11 +515,15 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES, broadcast_hosts:
     """(page_id, url, text, n_chars) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pages)
-    sizes = sizes.persist()
-    n_hosts, n_pages = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    large = F.broadcast(sizes.select("host")) if n_hosts <= broadcast_hosts else sizes.select("host")
+    text = F.coalesce("html", F.lit(""))
+    each = rows.select("host", F.xxhash64(text).alias("page"), F.char_length(text).cast("long").alias("chars"))
+    each = each.groupBy("host", "page").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars"))
+    sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
+    sizes = materialise(sizes.where((F.col("n") > group_pages) | (F.col("chars") > GROUP_CHARS)), "hosts")
+    n_hosts, n_pages = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    large = sizes.select("host", F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / 2))).cast("int").alias("least"))
+    large = F.broadcast(large) if n_hosts <= broadcast_hosts else large
     out = (rows.join(large, "host", "left_anti") if n_hosts else rows).select("page_id", "url", "html", "host").groupBy("host").applyInArrow(_group, _RESULT)
-    for own in _large_hosts(rows.join(large, "host", "left_semi"), n_pages, windows) if n_hosts else ():
+    for own in _large_hosts(rows.join(large, "host"), n_hosts, n_pages, windows) if n_hosts else ():
         out = out.unionByName(own)
     return out

@@ -576,6 +576,58 @@ def test_deep_elements_close_their_own():
     assert html.extract([page]) == ["deep\nrest of it"]
 
 
+def test_wrapping_forms_and_telling_classes():
+    wrapped = "<form id='aspnetForm'><nav>menu</nav><div><h1>Head</h1><p>one two three</p><form><p>ask</p></form></div></form>"
+    assert html.extract([wrapped]) == ["Head\none two three\nask"]
+    inside = "<article><p>one two three four</p><form><p>your comment</p></form><div class='social-history'>kept</div><div class='share-widget x'>kept too</div><div class='share widget'>gone</div><div id='cookie-notice'>gone</div></article>"
+    assert html.extract([inside]) == ["one two three four\nkept"]
+
+
+@pytest.mark.parametrize("chars", [8_000_000, 1])
+def test_hosts_against_brute_force(spark, monkeypatch, chars):
+    """Covered runs by plain counting of substrings, on either way, for hosts of all sizes."""
+    monkeypatch.setattr(html, "GROUP_CHARS", chars)
+    rnd = random.Random(31)
+    rows = []
+    for n in (2, 5, 9, 30):
+        common = [words_text(rnd, 12) for _ in range(4)]
+        for i in range(n):
+            parts = [f"<div class='c{rnd.randrange(3)}'>{rnd.choice(common) if rnd.random() < 0.6 else words_text(rnd, 12)}</div>" for _ in range(5)]
+            if n == 9:
+                parts = ["<article>", *parts, "</article>"]
+            rows.append((len(rows), f"http://h{n}.example/{i}", "".join(parts)))
+        rows.append((len(rows), f"http://h{n}.example/again", rows[-1][2]))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in (2, 5, 9, 30):
+        own = [(i, html.blocks(h)) for i, u, h in rows if f"//h{n}." in u]
+        texts = {h for _, u, h in rows if f"//h{n}." in u}
+        least = min(8, max(3, -(-len(texts) // 2)))
+        holders, tellers = defaultdict(set), defaultdict(lambda: [set(), set(), set()])
+        for i, bs in own:
+            words, around = [w for b in bs for w in b.words], html.around(bs)
+            for k in range(len(words) - 7):
+                holders[tuple(words[k : k + 8])].add(rows[i][2])
+                for j in range(3):
+                    if around[j, k] >= 0:
+                        tellers[tuple(words[k : k + 8])][j].add(around[j, k])
+        marks = {}
+        for i, bs in own:
+            words = [w for b in bs for w in b.words]
+            marks[i] = np.zeros(len(words), bool), np.zeros(len(words), bool)
+            for k in range(len(words) - 7):
+                key = tuple(words[k : k + 8])
+                marks[i][0][k : k + 8] |= len(holders[key]) >= least
+                marks[i][1][k : k + 8] |= max(map(len, tellers[key])) >= least
+        hit, total = defaultdict(int), defaultdict(int)
+        for i, bs in own:
+            html._count_paths(bs, marks[i][0], hit, total)
+        changed = 0
+        for i, bs in own:
+            assert got[i] == html._text(bs, *marks[i], lambda p, hit=hit, total=total: 2 * hit[p] >= total[p]), (n, i)
+            changed += got[i] != "\n".join(" ".join(b.words) for b in bs)
+        assert changed if n == 30 else True
+
+
 def test_disclosure_of_rare_values(spark):
     rnd = random.Random(22)
     far = " ".join(f"word{chr(97 + k % 26)}" for k in range(60))
