@@ -35,7 +35,7 @@ BLOCK_BITS = 1 << 17
 #: A shard is closed at the first document end after so many tokens.
 SHARD_TOKENS = 2_000_000
 #: Words of a generation of a worker's memory; about 200 bytes each, two generations at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_600_000
 
 _HEAD = struct.Struct("<4sIQQI")
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, shard binary"
@@ -195,6 +195,88 @@ class WaveletShard:
         return seq
 
 
+class WordTable:
+    """Ids of words, found by two 64-bit digests of their bytes, with all look-ups of a batch at once.
+
+    A word's digests are differences of prefix sums over the bytes of the text, moved to the same place and mixed.
+    """
+
+    SLOTS = 1 << 22
+
+    def __init__(self, dtype: np.dtype):
+        rng = np.random.Generator(np.random.PCG64(20031))
+        self.letters = rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64)
+        self.bases = [int(x) * 2 + 1 for x in rng.integers(1 << 60, 1 << 62, 2)]
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.second = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.word = np.full(self.SLOTS, -1, np.int32)
+        self.n, self.n_ids = 0, 0
+        self.ids, self.begin, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def digests(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.powers or len(self.powers[0][0]) < len(raw):
+            self.powers = []
+            for base in self.bases:
+                pair = []
+                for b in (base, pow(base, -1, 1 << 64)):
+                    steps = np.full(max(1 << 16, 2 * len(raw)), b, np.uint64)
+                    steps[0] = 1
+                    pair.append(np.cumprod(steps))
+                self.powers.append((pair[0], pair[1]))
+        out = []
+        for letters, (power, inverse) in zip(self.letters, self.powers, strict=True):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(letters[raw] * power[: len(raw)], out=sums[1:])
+            h = (sums[end] - sums[start]) * inverse[np.minimum(start, max(0, len(raw) - 1))] + (end - start).astype(np.uint64)
+            for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
+            out.append(h ^ (h >> np.uint64(33)))
+        return out[0], out[1]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        out, mask = np.full(len(a), -1, np.int64), np.uint64(self.SLOTS - 1)
+        rest, at = np.arange(len(a)), (a & mask).astype(np.int64)
+        while len(rest):
+            there = self.word[at]
+            same = (there >= 0) & (self.first[at] == a[rest]) & (self.second[at] == b[rest])
+            out[rest[same]] = there[same]
+            on = (there >= 0) & ~same
+            rest, at = rest[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: list[bytes]) -> None:
+        """Further words, all different and new, with their ids; those without digests can only be known by number."""
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        number = np.arange(self.n, self.n + len(ids), dtype=np.int32)
+        while self.n + len(ids) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.begin[self.n : self.n + len(ids)] = self.n_ids + np.cumsum(length) - length
+        self.length[self.n : self.n + len(ids)] = length
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.n, self.n_ids = self.n + len(ids), self.n_ids + len(flat)
+        rest, at = np.arange(len(a)), (a & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(rest):
+            free = self.word[at] < 0
+            self.word[at[free]] = number[rest[free]]  # of several for one slot the last one has it
+            won = free & (self.word[at] == number[rest])
+            self.first[at[won]], self.second[at[won]] = a[rest[won]], b[rest[won]]
+            rest, at = rest[~won], (at[~won] + 1) & (self.SLOTS - 1)
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words one after the other, and where each word's end."""
+        own = self.length[number]
+        end = np.cumsum(own)
+        return self.ids[np.repeat(self.begin[number] - (end - own), own) + np.arange(int(end[-1]) if len(end) else 0)], end
+
+
 class WordEncoder:
     """Whole texts to ids, with a memory of words that a worker keeps between tasks.
 
@@ -203,6 +285,7 @@ class WordEncoder:
     """
 
     _kept: dict[str, WordEncoder] = {}
+    #: A space that may not be cut at, and all other reasons to give a text to the library as a whole.
     _odd = re.compile(r" (?=\s|\Z)")
     #: Words that are one piece whatever version of Unicode the pattern knows.
     _plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
@@ -211,14 +294,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these go whole to the library.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.n_bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.n_bits <= 16 else "<u4")
         self.code = "H" if self.n_bits <= 16 else "I"
-        #: Words of this generation and of the one before; a word of the older one that is met again moves up.
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.table = WordTable(self.dtype)
         self.stops = {c: self._ask([c])[0] for c in ".,"}
+        self._forget()
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
@@ -230,66 +313,72 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    @classmethod
-    def pieces(cls, text: str) -> list[str]:
-        """The text cut at its spaces; all pieces but the first had one in front. A cut that would not be exact is undone."""
-        cut = text.split(" ")
-        if cls._odd.search(text):
-            joined = [cut[0]]
-            for w in cut[1:]:
-                if not w or w[0].isspace():
-                    joined[-1] += " " + w
-                else:
-                    joined.append(w)
-            return joined
-        return cut
+    def _forget(self) -> None:
+        """Words 0 and 1 are the full stop and the comma; no digest leads to them."""
+        self.table.clear()
+        self.table.add(np.zeros(0, np.uint64), np.zeros(0, np.uint64), list(self.stops.values()))
 
     def _ask(self, words: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for at in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words with a space in front."""
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        new, old, ask, stopped = self.new, self.old, set(), []
-        for w in words:
-            got = old.get(w)
-            if got is not None:
-                new[w] = got
-            elif len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-                stopped.append(w)
-                stem = w[:-1]
-                if stem not in new:
-                    got = old.get(stem)
-                    if got is None:
-                        ask.add(stem)
-                    else:
-                        new[stem] = got
-            else:
-                ask.add(w)
         # A word of plain letters is one piece, for which the vocabulary's model can be asked without the steps around it.
-        plain, code, alphabet, model = self._plain, self.code, self.alphabet, self.tokenizer.model
-        asked = []
-        for w in ask:
+        plain, code, alphabet, tokenize = self._plain, self.code, self.alphabet, self.tokenizer.model.tokenize
+        out, asked = [], []
+        for k, w in enumerate(words):
+            stop = b""
+            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
+                w, stop = w[:-1], self.stops[w[-1]]
             if plain(w):
-                new[w] = array(code, [t.id for t in model.tokenize((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes()
+                out.append(array(code, [t.id for t in tokenize((" " + w).encode().decode("latin-1").translate(alphabet))]).tobytes() + stop)
             else:
-                asked.append(w)
-        new.update(zip(asked, self._ask([" " + w for w in asked]), strict=True))
-        for w in stopped:
-            new[w] = new[w[:-1]] + self.stops[w[-1]]
+                asked.append((k, w, stop))
+                out.append(b"")
+        for (k, _, stop), ids in zip(asked, self._ask([" " + w for _, w, _ in asked]), strict=True):
+            out[k] = ids + stop
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of the shard's width."""
-        cut = [self.pieces(t) for t in texts]
-        heads = self._ask([c[0] for c in cut])
-        got = [list(map(self.new.get, c[1:])) for c in cut]
-        missing = {w for c, g in zip(cut, got, strict=True) if None in g for w, x in zip(c[1:], g, strict=True) if x is None}
-        if missing:
-            self.learn(missing)
-            known = self.new
-            got = [[known[w] if x is None else x for w, x in zip(c[1:], g, strict=True)] if None in g else g for c, g in zip(cut, got, strict=True)]
-        return [h + b"".join(g) for h, g in zip(heads, got, strict=True)]
+        odd = [self._odd.search(t) is not None or any(a in t for a in self.added) for t in texts]
+        whole = iter(self._ask([t for t, o in zip(texts, odd, strict=True) if o]))
+        cut = iter(self._encode_cut([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [next(whole if o else cut) for o in odd]
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        # One row of bytes: each text's first word, which has no space in front, is asked for by itself.
+        heads = [t.split(" ", 1) for t in texts]
+        data = [b" " + h[1].encode("utf-8", "surrogatepass") if len(h) > 1 else b"" for h in heads]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        start = np.flatnonzero(raw == 32) + 1
+        end = np.concatenate([start[1:] - 1, [len(raw)]]) if len(start) else start
+        if self.table.n > CACHE_WORDS:
+            self._forget()
+        # A full stop or comma behind an ASCII letter, with nothing behind it, is a piece of its own.
+        last = raw[np.maximum(end - 1, 0)]
+        before = raw[np.maximum(end - 2, 0)] | 32
+        stop = ((last == 46) | (last == 44)) & (end - start > 1) & (before >= 97) & (before <= 122)
+        end = end - stop
+        a, b = self.table.digests(raw, start, end)
+        number = self.table.find(a, b)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            _, one = np.unique(a[miss] ^ (b[miss] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            new = miss[one]
+            buffer = raw.tobytes()
+            self.table.add(a[new], b[new], self._learn([buffer[i:j].decode("utf-8", "surrogatepass") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+            number[miss] = self.table.find(a[miss], b[miss])
+        unit = np.arange(len(number) + 1) + np.concatenate([[0], np.cumsum(stop)])
+        units = np.empty(unit[-1], np.int64)
+        units[unit[:-1]] = number
+        units[unit[:-1][stop] + 1] = last[stop] == 44
+        ids, ends = self.table.gather(units)
+        ends = np.concatenate([[0], ends])
+        edge = ends[unit[np.searchsorted(start, np.cumsum([0, *map(len, data)]), side="right")]]
+        return [h + ids[i:j].tobytes() for h, i, j in zip(self._ask([h[0] for h in heads]), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def _encode(path: str, end_id: int, shard_tokens: int):
@@ -330,7 +419,9 @@ def _encode(path: str, end_id: int, shard_tokens: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode documents into shards of ascending doc_id at ``path``; returns the written shards."""
     spark = docs.sparkSession
-    placed = keyed_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one doc_id (or none) may go to several tasks, dealt by a digest of the text and their place in the input.
+    rows = keyed_text(docs).withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    placed = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "row").drop("h", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     placed.mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
     return read_shards(spark, path)
 

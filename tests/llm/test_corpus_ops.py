@@ -64,15 +64,17 @@ def test_wavelet_documents(spark, awkward, nothing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P50)
-    tok.encode_special_tokens = True
     df, rows = awkward
+    rows = [(*r, "h", "k", "d") for r in rows] + [(40, "hi <|endoftext|> there<|endoftext|>", *[None] * 6), (41, "a  <|endoftext|>  b <|endoftext", *[None] * 6)]
+    df = spark.createDataFrame(rows, df.schema)
     got = wavelet.token_shards(df, P50, shard_tokens=3000).orderBy("start").collect()
-    want, start = [], 0
-    for i, text in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
-        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert [tuple(r) for r in got] == want
+    want = []
+    for r in rows:
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want.append((r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [r.doc_id if r.doc_id is not None else -1 for r in got] == sorted(r.doc_id if r.doc_id is not None else -1 for r in got)
     assert wavelet.token_shards(nothing, P50).count() == 0
 
 
