@@ -5,7 +5,8 @@ reaches the rule's cutoff. Labelled documents fall into two halves by a digest o
 each stratum, a path of ever stricter rule sets: first the cutoff that rejects most bad documents net of ``price`` times
 the good ones, then the next rule that adds most, and so on. The holdout half then tests the path in order: step j passes
 if so few good holdout documents are rejected that, were the rate of false rejection above ``alpha``, the exact binomial
-probability of seeing no more would be at most ``delta`` divided by the number of strata (Bonferroni). Testing stops at
+probability of seeing no more would be at most ``delta`` divided by the number of strata with a path (Bonferroni; this number
+is fixed before the holdout is read). Testing stops at
 the first step that fails (fixed-sequence testing), so with probability 1 - delta no stratum rejects more than alpha of
 its good documents. A stratum with too few labels certifies nothing and rejects nothing beyond the base rules.
 
@@ -121,10 +122,11 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X <= k) for X of n trials with chance p, exactly summed in logarithms."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    lg = np.array([math.lgamma(x + 1) for x in range(k + 1)])
-    rest = np.array([math.lgamma(n - x + 1) for x in range(k + 1)])
-    logs = math.lgamma(n + 1) - lg - rest + i * math.log(p) + (n - i) * math.log1p(-p)
+    # Terms some hundred deviations below k add nothing that a double could hold.
+    low = max(0, k - 1000 - int(100 * math.sqrt(n * p * (1 - p))))
+    first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    i = np.arange(low, k, dtype=np.float64)
+    logs = first + np.concatenate([[0.0], np.cumsum(np.log(n - i) - np.log(i + 1) + math.log(p) - math.log1p(-p))])
     top = logs.max()
     return min(1.0, float(math.exp(top) * np.exp(logs - top).sum()))
 
@@ -177,11 +179,12 @@ def learn(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05, price:
         first = F.when(F.col("s") == s, step).otherwise(first)
     held = labelled.where("holdout and good").groupBy("s", first.alias("step")).count().collect()
     certified = {}
+    proposed = max(1, sum(bool(p) for p in paths.values()))  # fixed before the holdout is read
     for s, path in paths.items():
         n = sum(r["count"] for r in held if r.s == s)
         for j in range(len(path)):
             gone = sum(r["count"] for r in held if r.s == s and r.step <= j)
-            if not n or binomial_tail(gone, n, alpha) > delta / (len(STRATA) + 1):
+            if not n or binomial_tail(gone, n, alpha) > delta / proposed:
                 break
             certified[s] = path[: j + 1]
     return Cutoffs(certified)
