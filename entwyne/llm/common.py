@@ -1,61 +1,25 @@
-"""What the corpus operators share: the shared folder, written tables and Arrow plumbing."""
+"""What the corpus operators share: written tables of the shared folder, and Arrow plumbing."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entwyne.sources.shared import discard, materialise, new_path, shared_dir
+
 #: The ASCII white space that the word and line rules of this package use.
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none: the warehouse, or if all of Spark is one
-    local process, a new folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        folder = f"file://{tempfile.mkdtemp(prefix='entwyne-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in each Arrow batch than Spark's default: texts are long, and each batch is held several times over."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/entwyne-{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path, compression=compression)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._entwyne_path = path
-    return out
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing will read any more; other DataFrames are left alone."""
-    for df in written:
-        path = getattr(df, "_entwyne_path", None)
-        if path is not None:
-            context = df.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the key as a long and the text; other columns, whatever their names, stay behind."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -72,3 +36,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+__all__ = ["ASCII_SPACE", "bounded_batches", "discard", "keyed_text", "materialise", "new_path", "raw_texts", "shared_dir", "slices"]
