@@ -10,8 +10,8 @@
    reporting counts as quoted, one beside a word of address as aimed.
 4. A logistic regression over the counted evidence gives the score.
 
-Labels are learnt from about ``FIT_ROWS`` labelled rows at most, taken by a digest of their id; all documents are scored
-in one pass. Labels, lang, source and doc_id are no inputs of a score.
+Labels are learnt from about ``FIT_ROWS`` labelled rows at most, taken by a digest of their id, and what the driver holds
+of them is bounded by that alone; all documents are scored in one pass. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null or empty text has no tokens and the score of a document without evidence; without labels of both
 kinds nothing is learnt and every score is 0; labels with null id or toxic are ignored, of several the highest counts;
@@ -38,11 +38,12 @@ from entwyne.llm.common import keyed_text, slices
 #: Expected number of labelled documents that are learnt from, at most.
 FIT_ROWS = 20_000
 FOLDS = 5
-LEAST_POSITIVE, LEAST_RATIO, MOST_ENTRIES, MOST_CANDIDATES = 6, 15.0, 2_000, 100_000
+LEAST_POSITIVE, LEAST_RATIO = 6, 15.0
 STEM_LENGTHS = range(4, 9)
 #: Tokens on either side of a hit.
 CONTEXT = 4
-CACHE_TOKENS = 400_000
+#: Tokens and states of the automaton that a worker remembers before it starts anew.
+CACHE_TOKENS, CACHE_STATES = 400_000, 100_000
 
 #: Words that report what others say, and words that address someone, in the languages of the corpus.
 REPORTING = frozenset("word words term terms phrase called calling quote quoted quotes said says saying slur insult wort begriff genannt sagte zitat mot terme dit citation palabra dicho dijo cita".split())
@@ -82,12 +83,16 @@ class FuzzyLexicon:
             (self.word_at if entry in words else self.stem_at)[node] = entry
             if entry in words and entry in stems:
                 self.stem_at[node] = entry
+        self.known: dict[str, tuple[str, int, float] | bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop all states; what is known of whole tokens stays."""
         self.sets: list[frozenset] = [frozenset()]
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.steps: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str | None, int, str | None]] = [(None, 0, None)]
-        self.start = self._state({(0, 0)}) if words or stems else 0
-        self.known: dict[str, tuple[str, int, float] | bool] = {}
+        self.start = self._state({(0, 0)}) if self.words or self.stems else 0
 
     def _state(self, raw: set[tuple[int, int]]) -> int:
         """Number of the state of these positions and of all that skipping letters of an entry adds."""
@@ -146,6 +151,8 @@ class FuzzyLexicon:
             if x is None:
                 x = known.get(text[i])
                 if x is None:
+                    if len(self.sets) > CACHE_STATES:
+                        self._forget()
                     x = known[text[i]] = self._read(text[i])
             if x:
                 out.append((i, x))
@@ -159,9 +166,9 @@ FEATURES = ("abuse", "abuse_rate", "near", "quoted", "aimed", "strongest", "kind
 
 
 def _quoted(text: str, hits: list[str]) -> Counter:
-    """How often each of these tokens stands between quotation marks that are at most a few words apart."""
+    """How often each of these tokens stands between quotation marks of one line."""
     out: Counter = Counter()
-    spans = re.findall(r'"([^"\n]{1,80})"', text.lower().translate(_QUOTES))
+    spans = re.findall(r'"([^"\n]+)"', text.lower().translate(_QUOTES))
     for own in spans:
         out.update(t for t in tokens(own) if t in hits)
     return out
@@ -222,7 +229,7 @@ def _terms(own: list[str]) -> set[tuple[str, bool]]:
     """Distinct words and stems of a document; a stem is a word's beginning and not the whole of it."""
     out = set()
     for w in set(own):
-        if 3 <= len(w) <= 40:
+        if len(w) >= 3:
             out.add((w, False))
         out.update((w[:k], True) for k in STEM_LENGTHS if k < len(w))
     return out
@@ -274,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     if not n_pos or not n_neg:
         return Model()
     counted = sample.where("toxic = 1").select("text").mapInArrow(_count_terms(None), _TERM).groupBy("term", "stem").agg(F.sum("n").alias("n"))
-    pos = {(r.term, r.stem): r.n for r in counted.where(F.col("n") >= LEAST_POSITIVE).orderBy(F.desc("n"), "term", "stem").limit(MOST_CANDIDATES).collect()}
+    pos = {(r.term, r.stem): r.n for r in counted.where(F.col("n") >= LEAST_POSITIVE).collect()}
     shared = spark.sparkContext.broadcast(frozenset(pos))
     against = sample.where("toxic = 0").select("text").mapInArrow(_count_terms(shared), _TERM).groupBy("term", "stem").agg(F.sum("n").alias("n"))
     neg = {(r.term, r.stem): r.n for r in against.collect()}
@@ -291,7 +298,6 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     for term, stem in strong:
         if not stem and not any(term[:k] in stems for k in STEM_LENGTHS):
             words[term] = math.log(ratio[term, False])
-    words = dict(sorted(words.items(), key=lambda x: (-pos[x[0], False], x[0]))[:MOST_ENTRIES])
     lexicon = FuzzyLexicon(words, stems)
     # Near misses that benign documents hold.
     rough = spark.sparkContext.broadcast(lexicon)
@@ -306,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["token", "benign", "toxic"])
 
     near = sample.mapInArrow(misses, "token string, benign long, toxic long").groupBy("token").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
-    benign = frozenset(r.token for r in near.where(F.col("benign") * n_pos >= F.col("toxic") * n_neg * 0.2).orderBy(F.desc("benign"), "token").limit(MOST_CANDIDATES).collect())
+    benign = frozenset(r.token for r in near.where(F.col("benign") * n_pos >= F.col("toxic") * n_neg * 0.2).select("token").collect())
     lexicon = FuzzyLexicon(words, stems, benign)
     final = spark.sparkContext.broadcast(lexicon)
 
