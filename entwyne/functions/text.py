@@ -1,7 +1,7 @@
-"""Text functions as column expressions: everything stays inside the JVM.
+"""Text functions as column expressions.
 
-What Spark has no function for is expressed by tables built from Unicode's own rules: accents by ``translate``, Brahmic
-scripts by a walk over code points with the offset within the script's block.
+What Spark has no function for is expressed by tables built from Unicode's own rules: accents by ``translate`` (of long
+texts by Arrow's normalisation), Brahmic scripts by a walk over code points with the offset within the script's block.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ import sys
 import unicodedata
 from functools import cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entwyne.functions.vocabulary import NULL_WORDS, ORDINAL_SUFFIXES, ORDINAL_WORDS, TOP_LEVEL_DOMAINS, Vocabulary
 
@@ -61,6 +64,25 @@ def strip_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, source, target), marks, "")).otherwise(text)
 
 
+def strip_accents_of_texts(text: Column) -> Column:
+    """The same for long texts: Arrow's normalisation of a whole batch, composed again. Not for use inside a lambda."""
+    marks = _accents()[2]
+
+    def run(col: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(pc.replace_substring_regex(pc.utf8_normalize(col, "NFD"), pattern=marks, replacement=""), "NFC")
+
+    return F.arrow_udf(run, T.StringType())(text)
+
+
+def decompose(text: Column) -> Column:
+    """Compatibility decomposition without the marks of U+0300 to U+036F: ligatures and widths are resolved, too."""
+
+    def run(col: pa.Array) -> pa.Array:
+        return pc.replace_substring_regex(pc.utf8_normalize(col, "NFKD"), pattern=r"[\x{300}-\x{36F}]", replacement="")
+
+    return F.arrow_udf(run, T.StringType())(text)
+
+
 def has_indic(text: Column) -> Column:
     return text.rlike(r"[\x{0900}-\x{0D7F}]")
 

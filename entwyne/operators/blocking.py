@@ -121,8 +121,28 @@ def evaluate(pairs: DataFrame, truth: DataFrame, ids: DataFrame, n_pool: int) ->
     return whole.join(s2, F.lit(True))  # one row each
 
 
+def cap_sweep(pairs: DataFrame, truth: DataFrame, ids: DataFrame, n_pool: int, caps: tuple[int, ...] = (10, 20, 30, 40, 60, 0)) -> DataFrame:
+    """Per cap on candidates (0: none), best by shared keys: recall, ceiling, what it costs, and the reduction ratio."""
+    rows = _by_cap(pairs, truth, ids, "n_keys", caps)
+    return rows.groupBy("k").agg(
+        *_reached(), F.sum("n").alias("n_pairs"), F.avg("n").alias("avg_candidates"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.95)).alias("p95"),
+        F.percentile("n", F.lit(0.99)).alias("p99"), F.max("n").alias("most"), (1 - F.sum("n") / (F.count(F.lit(1)) * F.lit(float(n_pool)))).alias("reduction_ratio"),
+    )
+
+
 def recall_at(pairs: DataFrame, truth: DataFrame, ids: DataFrame, score: str, ks: tuple[int, ...]) -> DataFrame:
-    """Recall, ceiling and candidates per entity when only the k best are kept (0: all). Ranks are worked out once."""
+    """Recall, ceiling and candidates per entity when only the k best are kept (0: all)."""
+    return _by_cap(pairs, truth, ids, score, ks).groupBy("k").agg(*_reached(), F.avg("n").alias("avg_candidates"))
+
+
+def _reached() -> tuple[Column, Column]:
+    recall = F.col("got") / F.col("total")
+    ceiling = F.when(F.col("total") == 0, F.lit(1.0)).when(F.col("got") == 0, F.lit(0.0)).otherwise(1.25 * recall / (0.25 + recall))
+    return (F.sum("got") / F.sum("total")).alias("recall"), F.avg(ceiling).alias("ceiling")
+
+
+def _by_cap(pairs: DataFrame, truth: DataFrame, ids: DataFrame, score: str, ks: tuple[int, ...]) -> DataFrame:
+    """Per entity and cap: true matches, those among the best k, and candidates kept. Ranks are worked out once."""
     order = Window.partitionBy("source1_entity_id").orderBy(F.col(score).desc(), F.col("cand_id").asc())
     ranked = pairs.select("source1_entity_id", "cand_id", F.row_number().over(order).alias("rk"))
     limits = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
@@ -130,7 +150,4 @@ def recall_at(pairs: DataFrame, truth: DataFrame, ids: DataFrame, score: str, ks
     hit = truth.join(ranked, ["source1_entity_id", "cand_id"], "left").select("*", limits)
     captured = hit.groupBy("source1_entity_id", "k").agg(F.count(F.lit(1)).alias("total"), F.sum(F.when(within, 1).otherwise(0)).alias("got"))
     kept = ranked.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("all")).select("*", limits).select("source1_entity_id", "k", F.when(F.col("k") == 0, F.col("all")).otherwise(F.least("all", F.col("k").cast("long"))).alias("n"))
-    rows = ids.select("source1_entity_id", limits).join(captured, ["source1_entity_id", "k"], "left").join(kept, ["source1_entity_id", "k"], "left").na.fill(0, ["total", "got", "n"])
-    recall = F.col("got") / F.col("total")
-    ceiling = F.when(F.col("total") == 0, F.lit(1.0)).when(F.col("got") == 0, F.lit(0.0)).otherwise(1.25 * recall / (0.25 + recall))
-    return rows.groupBy("k").agg((F.sum("got") / F.sum("total")).alias("recall"), F.avg(ceiling).alias("ceiling"), F.avg("n").alias("avg_candidates"))
+    return ids.select("source1_entity_id", limits).join(captured, ["source1_entity_id", "k"], "left").join(kept, ["source1_entity_id", "k"], "left").na.fill(0, ["total", "got", "n"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from entwyne.functions.text import f_beta, id_set
 
@@ -96,36 +97,80 @@ def by_country(entities: DataFrame, countries: DataFrame) -> DataFrame:
     return out.withColumn("ctry", F.when(F.col("_all") == 1, "all").otherwise(F.col("ctry"))).drop("_all")
 
 
-def binary_scores(scored: DataFrame) -> DataFrame:
-    """ROC AUC by ranks with ties averaged, average precision by distinct scores, log-loss, precision and recall at 0.7.
+def _ranked(scored: DataFrame, value: str, counts: tuple[str, ...], parts: int = 256) -> DataFrame:
+    """One row per distinct value, with sums of ``counts`` and, as below_*, the sums over all smaller values.
 
-    Scores are first summed per distinct value, so the ordered windows run over values and not over pairs.
+    Values are dealt into ranges by approximate quantiles; a window runs within a range, and ranges are joined by the
+    running sums of their totals, a row each. So no task sorts all values.
     """
-    from pyspark.sql.window import Window
+    values = scored.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(*[F.sum(c).alias(c) for c in counts])
+    bounds = values.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    placed = values.withColumn("_part", F.aggregate(F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]).cast("array<double>"), F.lit(0), lambda n, x: n + (F.col("v") > x).cast("int")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in counts]).select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts])
+    within = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts}).join(F.broadcast(totals), "_part")
+    return rows.select("v", *counts, *[(F.col(f"below_{c}") + F.col(f"_{c}")).alias(f"below_{c}") for c in counts])
+
+
+def percentiles(scored: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles, with linear interpolation, by ranks of distinct values; null without values."""
+    ranked = _ranked(scored.select(value, F.lit(1).alias("n")), value, ("n",))
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    rows, out = ranked.join(F.broadcast(total), F.lit(True)), []
+    for name, q in shares.items():
+        at = (F.col("_total") - 1) * F.lit(q)
+        holds = lambda place: (F.col("below_n") <= place) & (place < F.col("below_n") + F.col("n"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("v"))), F.max(F.when(holds(F.ceil(at)), F.col("v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return rows.agg(*out)
+
 
-    values = scored.groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    up, down = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    rated = values.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
-    clipped = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
+def binary_scores(scored: DataFrame) -> DataFrame:
+    """ROC AUC by ranks with ties averaged, average precision by distinct scores, log-loss, precision and recall at 0.7."""
+    rated = _ranked(scored.select("p", F.col("y").alias("pos"), F.lit(1).alias("n")), "p", ("pos", "n"))
+    totals = rated.agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    rated = rated.join(F.broadcast(totals), F.lit(True)).withColumns({"tp": F.col("_pos") - F.col("below_pos"), "seen": F.col("_n") - F.col("below_n")})
+    clipped = F.least(F.greatest(F.col("v"), F.lit(1e-15)), F.lit(1 - 1e-15))
     total, good = F.sum("n"), F.sum("pos")
+    above = F.col("v") >= 0.7
     return rated.agg(
-        ((F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)) - good * (good + 1) / 2) / (good * (total - good))).alias("auc"),
+        ((F.sum(F.col("pos") * (F.col("below_n") + (F.col("n") + 1) / 2)) - good * (good + 1) / 2) / (good * (total - good))).alias("auc"),
         (F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / good).alias("average_precision"),
         (-F.sum(F.col("pos") * F.ln(clipped) + (F.col("n") - F.col("pos")) * F.ln(1 - clipped)) / total).alias("log_loss"),
-        _safe(F.sum(F.when(F.col("p") >= 0.7, F.col("pos")).otherwise(0)), F.sum(F.when(F.col("p") >= 0.7, F.col("n")).otherwise(0))).alias("precision_70"),
-        _safe(F.sum(F.when(F.col("p") >= 0.7, F.col("pos")).otherwise(0)), good).alias("recall_70"), total.alias("n"), good.alias("positives"),
+        _safe(F.sum(F.when(above, F.col("pos")).otherwise(0)), F.sum(F.when(above, F.col("n")).otherwise(0))).alias("precision_70"),
+        _safe(F.sum(F.when(above, F.col("pos")).otherwise(0)), good).alias("recall_70"), total.alias("n"), good.alias("positives"),
     )
 
 
+def fit_check(seen: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Scores on what a model was fitted on beside those on what it wasn't."""
+    return binary_scores(seen).withColumn("part", F.lit("seen")).unionByName(binary_scores(held_out).withColumn("part", F.lit("held out")))
+
+
 def boundary_bands(scored: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
     """Pairs near the boundary, by label, and the upper percentiles of negatives."""
-    negative = F.when(F.col("y") == 0, F.col("p"))
     inside = F.col("p").between(low, high)
-    return scored.agg(
+    counts = scored.agg(
         F.sum(F.when(inside & (F.col("y") == 1), 1).otherwise(0)).alias("band_pos"), F.sum(F.when(inside & (F.col("y") == 0), 1).otherwise(0)).alias("band_neg"),
         F.sum(F.when((F.col("p") > high) & (F.col("y") == 0), 1).otherwise(0)).alias("neg_above"), F.sum(F.when((F.col("p") < low) & (F.col("y") == 1), 1).otherwise(0)).alias("pos_below"),
-        F.percentile(negative, F.lit(0.99)).alias("neg_p99"), F.percentile(negative, F.lit(0.999)).alias("neg_p999"),
     )
+    return counts.join(percentiles(scored.where("y = 0"), "p", {"neg_p99": 0.99, "neg_p999": 0.999}), F.lit(True))  # one row each
+
+
+def miss_diagnosis(truth: DataFrame, candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """Recall of the candidates by country, source, script of the names and missing address, in one pass.
+
+    ``records`` has entity_id, business_name, business_address and ctry.
+    """
+    odd = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"[^\x00-\x7F]")
+    q = records.select(F.col("entity_id").alias("source1_entity_id"), "ctry", odd("business_name").alias("_q_odd"))
+    c = records.select(F.col("entity_id").alias("cand_id"), odd("business_name").alias("_c_odd"), (F.trim(F.coalesce("business_address", F.lit(""))) == "").alias("_bare"))
+    hit = candidates.select("source1_entity_id", "cand_id", F.lit(1).alias("hit")).distinct()
+    rows = truth.distinct().join(hit, ["source1_entity_id", "cand_id"], "left").join(q, "source1_entity_id").join(c, "cand_id")
+    kinds = {"country": F.col("ctry"), "source": F.substring("cand_id", 1, 2), "non-ASCII name": (F.col("_q_odd") | F.col("_c_odd")).cast("string"), "missing address": F.col("_bare").cast("string"), "all": F.lit("all")}
+    cells = rows.select("hit", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in kinds.items()])).alias("x"))
+    return cells.groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n_truth"), F.count("hit").alias("n_found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def feature_diagnostics(rows: DataFrame, names: list[str]) -> DataFrame:

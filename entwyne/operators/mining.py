@@ -73,8 +73,10 @@ def aliases(diff: DataFrame, config: MiningConfig = MiningConfig()) -> DataFrame
 
 
 def resolve(found: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """The alias table as a dict in which no alias points to another. ``most`` bounds what the driver takes."""
-    table = {r.alias: r.canonical for r in found.orderBy(F.desc("n"), "alias").limit(most).collect()}
+    """The alias table as a dict in which no alias points to another. Over ``most`` of them are an error."""
+    table = {r.alias: r.canonical for r in found.limit(most + 1).collect()}
+    if len(table) > most:
+        raise ValueError(f"more than {most} aliases: ask for more support or confidence")
     for k in table:
         seen, v = {k}, table[k]
         while v in table and v not in seen:

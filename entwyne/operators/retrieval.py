@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from entwyne.functions import similarity as S
-from entwyne.functions.text import strip_accents, tokens
+from entwyne.functions.text import decompose, tokens
 
 # Abbreviations, ordinals and states that the second normaliser knows.
 NAME_ABBREVIATIONS = {
@@ -47,7 +47,7 @@ def _mapped(toks: Column, table: dict[str, str]) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    low = F.lower(strip_accents(F.coalesce(text, F.lit(""))))
+    low = F.lower(decompose(F.coalesce(text, F.lit(""))))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(low, _DOMAIN, " "), "&", " and "), "['\u2018\u2019`\u00b4.]", "")
 
 
@@ -203,3 +203,25 @@ def pair_features(pairs: DataFrame, records: DataFrame, generic: float = 2.5) ->
     }
     plain = rows.select(*pairs.columns, *[c.cast("double").alias(n) for n, c in made.items()])
     return competition(plain, records)
+
+
+def lexicon_pairs(records: DataFrame, truth: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """(pair, name_a, name_b) of true matches to learn a lexicon from, leaving out the S1 entities in ``without``."""
+    kept = truth if without is None else truth.join(without.select("source1_entity_id"), "source1_entity_id", "left_anti")
+    a = records.select(F.col("entity_id").alias("source1_entity_id"), F.col("name_n").alias("name_a"))
+    b = records.select(F.col("entity_id").alias("cand_id"), F.col("name_n").alias("name_b"))
+    return kept.distinct().join(a, "source1_entity_id").join(b, "cand_id").select(F.concat_ws("|", "source1_entity_id", "cand_id").alias("pair"), "name_a", "name_b")
+
+
+def block_report(found: DataFrame, truth: DataFrame, records: DataFrame) -> DataFrame:
+    """Per country and source: queries, pool, pairs, recall and reduction ratio of retrieved candidates."""
+    source = lambda c: F.substring(c, 1, 2).alias("source")
+    one, pool = records.where(F.col("entity_id").startswith("S1-")), records.where(~F.col("entity_id").startswith("S1-"))
+    own = one.select(F.col("entity_id").alias("source1_entity_id"), "country")
+    asked = own.groupBy("country").agg(F.count(F.lit(1)).alias("n_queries"))
+    there = pool.groupBy("country", source("entity_id")).agg(F.count(F.lit(1)).alias("n_pool"))
+    pairs = found.select("source1_entity_id", "cand_id", F.lit(1).alias("hit")).distinct()
+    made = pairs.join(own, "source1_entity_id").groupBy("country", source("cand_id")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    true = truth.distinct().join(pairs, ["source1_entity_id", "cand_id"], "left").join(own, "source1_entity_id").groupBy("country", source("cand_id")).agg(F.count(F.lit(1)).alias("n_truth"), F.count("hit").alias("n_found"))
+    rows = there.join(asked, "country").join(made, ["country", "source"], "left").join(true, ["country", "source"], "left").na.fill(0, ["n_pairs", "n_truth", "n_found"])
+    return rows.select("country", "source", "n_queries", "n_pool", "n_pairs", "n_truth", F.when(F.col("n_truth") > 0, F.col("n_found") / F.col("n_truth")).alias("recall"), (1 - F.col("n_pairs") / (F.col("n_queries") * F.col("n_pool"))).alias("reduction_ratio"))

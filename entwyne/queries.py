@@ -7,6 +7,7 @@ language the country, and page_id deals records to the three sources. Pages with
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -355,7 +356,7 @@ def address_views(spark, d):
 @query("SELECT doc_id, strip_accents(lower(text)) AS folded, regexp_matches(text, '[\\x{0900}-\\x{0D7F}]') AS indic, regexp_replace(lower(text), '[aeiou]+', '', 'g') AS skeleton FROM documents")
 def text_folding(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", X.strip_accents(F.lower("text")).alias("folded"), X.has_indic(F.col("text")).alias("indic"), X.skeleton(F.lower("text")).alias("skeleton"))
+    return docs.select("doc_id", X.strip_accents_of_texts(F.lower("text")).alias("folded"), X.has_indic(F.col("text")).alias("indic"), X.skeleton(F.lower("text")).alias("skeleton"))
 
 
 @query("""SELECT p_partkey, CASE WHEN s = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: s[i : i + 2]))) END AS n_grams,
@@ -406,6 +407,33 @@ def blocking_evaluation(spark, d):
     return rounded(blocking.evaluate(found(spark, d), true_pairs(spark, d), entities(spark, d), resolve.sides(own)[1].count()))
 
 
+_BY_CAP = """(SELECT i.source1_entity_id, k, coalesce(total, 0) AS total, coalesce(got, 0) AS got, coalesce(n, 0) AS n FROM ids i CROSS JOIN (SELECT unnest([10, 20, 40, 0]) AS k)
+  LEFT JOIN (SELECT t.source1_entity_id, k, count(*) AS total, count(*) FILTER (k = 0 AND rk IS NOT NULL OR rk <= k) AS got FROM truth t LEFT JOIN rn USING (source1_entity_id, cand_id) CROSS JOIN (SELECT unnest([10, 20, 40, 0]) AS k) GROUP BY ALL) USING (source1_entity_id, k)
+  LEFT JOIN (SELECT source1_entity_id, k, count(*) FILTER (k = 0 OR rk <= k) AS n FROM rn CROSS JOIN (SELECT unnest([10, 20, 40, 0]) AS k) GROUP BY ALL) USING (source1_entity_id, k))"""
+
+
+@query(f"""SELECT k, round(sum(got)::DOUBLE / sum(total), 6) AS recall, round(avg({_CEIL}), 6) AS ceiling, sum(n)::BIGINT AS n_pairs, round(avg(n), 6) AS avg_candidates, round(quantile_cont(n, 0.5), 6) AS p50,
+  round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n)::BIGINT AS most, round(1 - sum(n)::DOUBLE / (count(*) * (SELECT count(*) FROM pool)), 6) AS reduction_ratio
+FROM (WITH rn AS (SELECT source1_entity_id, cand_id, row_number() OVER (PARTITION BY source1_entity_id ORDER BY n_keys DESC, cand_id) AS rk FROM cand) SELECT * FROM {_BY_CAP}) GROUP BY k""")
+def cap_sweep(spark, d):
+    own = views(spark, d)
+    return rounded(blocking.cap_sweep(found(spark, d), true_pairs(spark, d), entities(spark, d), resolve.sides(own)[1].count(), (10, 20, 40, 0)))
+
+
+@query("""SELECT dimension, value, count(*) AS n_truth, count(hit) AS n_found, round(count(hit)::DOUBLE / count(*), 6) AS recall FROM (
+  SELECT hit, unnest([{'dimension': 'country', 'value': ctry}, {'dimension': 'source', 'value': cand_id[1:2]}, {'dimension': 'non-ASCII name', 'value': (regexp_matches(q.business_name, '[^\x00-\x7F]') OR regexp_matches(p.business_name, '[^\x00-\x7F]'))::VARCHAR},
+    {'dimension': 'missing address', 'value': (trim(p.business_address) = '')::VARCHAR}, {'dimension': 'all', 'value': 'all'}], recursive := true)
+  FROM (SELECT t.*, c.n_keys AS hit FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT * FROM sc1 WHERE p >= 0.5) c USING (source1_entity_id, cand_id)) JOIN ids USING (source1_entity_id) JOIN rec q ON q.entity_id = source1_entity_id JOIN rec p ON p.entity_id = cand_id) GROUP BY ALL""")
+def miss_diagnosis(spark, d):
+    raw = records(spark, d).select("entity_id", "business_name", "business_address").join(views(spark, d).select("entity_id", "ctry"), "entity_id")
+    return rounded(metrics.miss_diagnosis(true_pairs(spark, d), scored(spark, d).where("p >= 0.5"), raw))
+
+
+@query("SELECT entity_id, business_name FROM rec ORDER BY md5('11:' || entity_id), entity_id LIMIT 40")
+def seeded_subset(spark, d):
+    return splits.subset(records(spark, d), 40).select("entity_id", "business_name")
+
+
 @query(f"""SELECT k, round(sum(got)::DOUBLE / sum(total), 6) AS recall, round(avg({_CEIL}), 6) AS ceiling, round(avg(n), 6) AS avg_candidates FROM (
   SELECT i.source1_entity_id, k, coalesce(total, 0) AS total, coalesce(got, 0) AS got, coalesce(n, 0) AS n FROM ids i CROSS JOIN (SELECT unnest([5, 10, 20, 40, 0]) AS k)
   LEFT JOIN (SELECT t.source1_entity_id, k, count(*) AS total, count(*) FILTER (k = 0 AND rk IS NOT NULL OR rk <= k) AS got FROM truth t LEFT JOIN rk USING (source1_entity_id, cand_id) CROSS JOIN (SELECT unnest([5, 10, 20, 40, 0]) AS k) GROUP BY ALL) USING (source1_entity_id, k)
@@ -651,6 +679,26 @@ def validation_subset(spark, d):
     return validate.subset_offences(true_pairs(spark, d), found(spark, d))
 
 
+@query(f"SELECT t.* FROM truth t JOIN (SELECT source1_entity_id FROM {_FOLDS} WHERE fold = 'val') USING (source1_entity_id)")
+def fold_truth(spark, d):
+    return splits.fold_truth(true_pairs(spark, d), stratified_folds(spark, d), "val")
+
+
+@query("""SELECT rule::BIGINT AS rule, round(sum(CASE WHEN n_true = 0 THEN CASE WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END WHEN n_pred = 0 OR tp = 0 THEN 0.0
+  ELSE 1.25 * (tp::DOUBLE / n_pred) * (tp::DOUBLE / n_true) / (0.25 * tp / n_pred + tp::DOUBLE / n_true) END) / count(*), 6) AS macro_f05, sum(tp)::BIGINT AS tp, sum(n_pred)::BIGINT AS n_pred FROM (
+  SELECT g.rule, i.source1_entity_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM ids i CROSS JOIN (SELECT unnest(range(0, 4)) AS rule) g
+  LEFT JOIN (SELECT source1_entity_id, count(*) AS n_true FROM truth GROUP BY 1) USING (source1_entity_id)
+  LEFT JOIN (SELECT rule, source1_entity_id, count(*) AS n_pred, sum(y) AS tp FROM (SELECT rule, k, source1_entity_id, y, row_number() OVER (PARTITION BY rule, source1_entity_id ORDER BY p DESC, cand_id) AS rk
+    FROM st CROSS JOIN (VALUES (0, 0.0, 0.0, 2.0, 11), (1, 0.05, 0.0, 2.0, 11), (2, 0.0, 0.1, 2.0, 1), (3, 0.0, 0.0, 0.7, 2)) r(rule, gap, bump, lift, k)
+    WHERE (p >= 0.55 - 1e-9 + CASE WHEN n > 10 THEN bump ELSE 0 END AND best - second >= gap - 1e-9) OR (rr_score >= lift - 1e-9 AND p >= 0.4)) WHERE rk <= k GROUP BY ALL) x ON x.rule = g.rule AND x.source1_entity_id = i.source1_entity_id) GROUP BY rule""")
+def gate_sweep(spark, d):
+    """Rules that differ in gap, bump, override and cap, in one pass."""
+    t = 0.55 - 1e-9
+    plain = decision.Rule(t_s2=t, t_s3=t, gap_min=-1e-9)
+    rules = [plain, replace(plain, gap_min=0.05 - 1e-9), replace(plain, count_bumps=((10, 0.1),), max_k=1), replace(plain, override_rr=0.7 - 1e-9, override_p=0.4, max_k=2)]
+    return rounded(decision.sweep(scored(spark, d), true_pairs(spark, d), entities(spark, d), rules).select("rule", "macro_f05", "tp", "n_pred"))
+
+
 # ---- the second pipeline -------------------------------------------------------------------------------------------
 
 

@@ -91,6 +91,25 @@ def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, path: str) ->
     spark.createDataFrame([(vocabulary.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_token_stats(stats: DataFrame, path: str) -> None:
+    """Token statistics (tok, keep, drop, add, df) as Parquet."""
+    stats.write.mode("overwrite").parquet(path)
+
+
+def write_table(rows: DataFrame, path: str, kind: str = "markdown", most: int = 10_000) -> None:
+    """A small table of figures as one Markdown or CSV file in a folder; a larger one is an error."""
+    if kind == "csv":
+        rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+        return
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has {most} rows at most")
+    cell = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [rows.columns, ["-"] * len(rows.columns), *([cell(x) for x in r] for r in found)]
+    text = "\n".join("|" + "|".join(x) + "|" for x in lines)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(row: DataFrame, path: str) -> None:
     """A few rows of figures as JSON lines."""
     row.coalesce(1).write.mode("overwrite").json(path)
