@@ -1,6 +1,7 @@
 """The record-linkage engine: hand-worked cases, and every query against its SQL."""
 
 import os
+import random
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from entwyne.functions import similarity as S
 from entwyne.functions import text as X
 from entwyne.functions.vocabulary import Vocabulary
 from entwyne.operators import blocking, decision, metrics, mining, model, pairs, retrieval, splits, validate
-from entwyne.sources import tables
+from entwyne.sources import shared, tables
 from entwyne.streaming.arrivals import resolve_stream
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -267,3 +268,69 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).columns == ["source1_entity_id", "cand_id", "n_keys"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lanes_equal_scalar_kernels():
+    rnd = random.Random(41)
+    for letters, most in (("ab ", 10), ("abcdefgh 12", 80), ("aé漢\U0001f600 b", 20)):
+        word = lambda n: "".join(rnd.choice(letters) for _ in range(n))  # noqa: B023, E731
+        a = [word(rnd.randint(0, most)) for _ in range(150)]
+        b = [x[rnd.randint(0, 3) :] + word(2) if rnd.random() < 0.4 else word(rnd.randint(0, most)) for x in a]
+        for name, lanes in S.KERNELS.items():
+            want = [getattr(S, name)(x, y) for x, y in zip(a, b, strict=True)]
+            assert max(abs(g - w) for g, w in zip(lanes(a, b).tolist(), want, strict=True)) < 1e-12, name
+        assert all(len(lanes([], [])) == 0 for lanes in S.KERNELS.values())
+
+
+def test_ranks_and_percentiles(spark):
+    rnd = random.Random(42)
+    rows = [(round(rnd.random() ** 4, 2), int(rnd.random() < 0.3)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    got = metrics.percentiles(df, "p", {"a": 0.0, "b": 0.37, "c": 0.99, "d": 1.0}).first()
+    values = sorted(p for p, _ in rows)
+    for name, q in (("a", 0.0), ("b", 0.37), ("c", 0.99), ("d", 1.0)):
+        at = (len(values) - 1) * q
+        low = int(at)
+        want = values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+        assert abs(got[name] - want) < 1e-9
+    assert metrics.percentiles(df.limit(0), "p", {"a": 0.5}).first().a is None
+    better = sum((p > q) + (p == q) / 2 for p, y in rows if y for q, z in rows if not z)
+    n_pos = sum(y for _, y in rows)
+    check = {r.part: r for r in metrics.fit_check(df, df.where("p < 0.5")).collect()}
+    assert abs(check["seen"].auc - better / n_pos / (len(rows) - n_pos)) < 1e-9 and check["held out"].n < len(rows)
+
+
+def test_stage_tables_follow_their_input(spark, tmp_path):
+    path, built = f"{tmp_path}/in", []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path)
+
+    spark.range(3).write.parquet(path)
+    assert shared.kept(spark, path, "x", build).count() == 3 and shared.kept(spark, path, "x", build).count() == 3 and len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert shared.kept(spark, path, "x", build).count() == 5 and len(built) == 2
+    one = shared.materialise(spark.range(2), "t")
+    shared.discard(one, spark.range(1))
+    assert not os.path.exists(one._entwyne_path.removeprefix("file://"))
+
+
+def test_reports(spark, tmp_path):
+    rows = [("S1-1", "fr", "a b", "x"), ("S1-2", "fr", "c", ""), ("S2-1", "fr", "a é", ""), ("S3-1", "fr", "d", "y"), ("S2-2", "us", "e", "z")]
+    own = spark.createDataFrame(rows, "entity_id string, country string, name_n string, business_address string")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1"), ("S1-2", "S2-1")], "source1_entity_id string, cand_id string")
+    found = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S3-1")], truth.schema)
+    got = {(r.country, r.source): (r.n_queries, r.n_pool, r.n_pairs, r.n_truth, r.recall) for r in retrieval.block_report(found, truth, own).collect()}
+    assert got == {("fr", "S2"): (2, 1, 1, 2, 0.5), ("fr", "S3"): (2, 1, 1, 1, 0.0)}
+    miss = {(r.dimension, r.value): r.recall for r in metrics.miss_diagnosis(truth, found, own.selectExpr("entity_id", "name_n business_name", "business_address", "country ctry")).collect()}
+    assert miss["all", "all"] == 1 / 3 and miss["source", "S3"] == 0 and miss["non-ASCII name", "true"] == 0.5 and miss["missing address", "true"] == 0.5
+    pairs_ = retrieval.lexicon_pairs(own, truth, spark.createDataFrame([("S1-2",)], "source1_entity_id string"))
+    assert sorted((r.name_a, r.name_b) for r in pairs_.collect()) == [("a b", "a é"), ("a b", "d")]
+    assert {r.entity_id for r in splits.subset(own, 2).collect()} == {r.entity_id for r in splits.subset(own.repartition(3), 2).collect()}
+    tables.write_table(found.orderBy("cand_id"), f"{tmp_path}/md")
+    assert "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/md").collect()).startswith("|source1_entity_id|cand_id|\n|-|-|\n|S1-1|S2-1|")
+    with pytest.raises(ValueError):
+        tables.write_table(found, f"{tmp_path}/md", most=1)
+    with pytest.raises(ValueError):
+        mining.resolve(spark.createDataFrame([("a", "b", 2), ("c", "d", 1)], "alias string, canonical string, n long"), most=1)
