@@ -15,7 +15,11 @@ PAIR = ("source1_entity_id", "cand_id")
 
 
 def attach(pairs: DataFrame, queries: DataFrame, pool: DataFrame, views: tuple[str, ...] = VIEWS) -> DataFrame:
-    """Views of both sides beside each pair, as q_* and c_*. Unread views are pruned from the scans."""
+    """Views of both sides beside each pair, as q_* and c_*. Unread views are pruned from the scans.
+
+    Pairs are few bytes, but dear to compare: they are dealt out by number, so that small partitions aren't put together.
+    """
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR)
     q = queries.select(F.col("entity_id").alias("source1_entity_id"), *[F.col(v).alias(f"q_{v}") for v in views])
     c = pool.select(F.col("entity_id").alias("cand_id"), *[F.col(v).alias(f"c_{v}") for v in views])
     return pairs.join(q, "source1_entity_id").join(c, "cand_id")
