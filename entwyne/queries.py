@@ -6,6 +6,7 @@ language the country, and page_id deals records to the three sources. Pages with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -706,11 +707,53 @@ def second_records(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("entity_id", "country", "business_name", retrieval.second_name(F.col("business_name")).alias("name_n"), retrieval.second_address(F.col("business_address")).alias("addr_n"))
 
 
-@query()
+def _second_sql() -> str:
+    """CTEs up to ``wc``: the second normaliser, its weighted keys and the best candidates by sums of squared idf."""
+    own = lambda pattern: re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
+    clean = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({c})), '{retrieval._DOMAIN}', ' ', 'g'), '&', ' and ', 'g'), '[''\u2018\u2019`\u00b4.]', '', 'g')"
+    spaced = lambda c: f"trim(regexp_replace(regexp_replace({clean(c)}, '{own(retrieval._PUNCTUATION)}', ' ', 'g'), '\\s+', ' ', 'g'))"
+    states = "a0"
+    for name in sorted(retrieval.STATES, key=lambda x: (-len(x), x)):
+        states = f"regexp_replace({states}, '\\b{name}\\b', '{retrieval.STATES[name]}', 'g')"
+    mapped = lambda toks, table: f"list_transform({toks}, lambda t: coalesce({_map(table)}[t], t))"
+    plain = f"list_transform({_TOKS.format('a1')}, lambda t: regexp_replace(t, '^(\\d+)(st|nd|rd|th|er|e|eme)$', '\\1'))"
+    address = f"list_filter({mapped(mapped(plain, retrieval.ORDINALS), retrieval.ADDRESS_ABBREVIATIONS)}, lambda t: NOT list_contains({_list(retrieval.DROPPED)}, t))"
+    rarest = lambda c, n: f"""(SELECT entity_id, list(tok ORDER BY df, tok)[1:{n}] AS core FROM (SELECT entity_id, country, unnest(list_distinct({c})) AS tok FROM w2) JOIN
+      (SELECT country, tok, count(*) AS df FROM (SELECT entity_id, country, unnest(list_distinct({c})) AS tok FROM w2) GROUP BY ALL) USING (country, tok) WHERE df <= 300 GROUP BY entity_id)"""
+    crossed = lambda tag, c: f"SELECT entity_id, country, '{tag}' || a || '_' || core[j] AS key FROM (SELECT *, core[i] AS a, unnest(range(i + 1, len(core) + 1)) AS j FROM (SELECT *, unnest(range(1, len(core) + 1)) AS i FROM w2 JOIN {c} USING (entity_id)))"
+    return f"""w0 AS (SELECT entity_id, country, {spaced("business_name")} AS n0, {spaced("business_address")} AS a0 FROM rec), w1 AS (SELECT *, {states} AS a1 FROM w0),
+w2 AS (SELECT entity_id, country, {mapped(_TOKS.format("n0"), retrieval.NAME_ABBREVIATIONS)} AS nt, {address} AS at_ FROM w1),
+wk AS (SELECT DISTINCT * FROM (
+  SELECT entity_id, country, 'n' || t AS key FROM (SELECT *, unnest(nt) AS t FROM w2) WHERE length(t) >= 3 UNION ALL {crossed("b", rarest("nt", 6))}
+  UNION ALL SELECT entity_id, country, 'p' || t[1:4] FROM (SELECT *, unnest(nt) AS t FROM w2) WHERE length(t) >= 5 UNION ALL SELECT entity_id, country, 'x' || t[-4:] FROM (SELECT *, unnest(nt) AS t FROM w2) WHERE length(t) >= 6
+  UNION ALL SELECT entity_id, country, 'a' || t FROM (SELECT *, unnest(at_) AS t FROM w2) WHERE length(t) >= 4 AND NOT regexp_full_match(t, '\\d+') UNION ALL {crossed("c", rarest("at_", 8))}
+  UNION ALL SELECT entity_id, country, 'z' || t FROM (SELECT *, unnest(at_) AS t FROM w2) WHERE length(t) >= 5 AND regexp_full_match(t, '\\d+'))),
+ww AS (SELECT country, key, ln(any_value(n_rec)::DOUBLE / count(*)) ** 2 AS w FROM wk JOIN (SELECT country, count(*) AS n_rec FROM w2 GROUP BY 1) USING (country) GROUP BY country, key HAVING count(*) BETWEEN 2 AND 300),
+ws AS (SELECT q.entity_id AS source1_entity_id, p.entity_id AS cand_id, coalesce(sum(w) FILTER (key[1] IN ('n', 'b', 'p', 'x')), 0.0) AS sn, coalesce(sum(w) FILTER (key[1] IN ('a', 'c', 'z')), 0.0) AS sa
+  FROM wk q JOIN wk p USING (country, key) JOIN ww USING (country, key) WHERE q.entity_id LIKE 'S1-%' AND p.entity_id NOT LIKE 'S1-%' GROUP BY ALL),
+wc AS (SELECT source1_entity_id, cand_id, sn, sa, sn + sa AS s_tot, round(sn + sa, 9) AS t FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, cand_id[1:2] ORDER BY round(sn + sa, 9) DESC, cand_id) AS r FROM ws) WHERE r <= 30)"""
+
+
+@query("SELECT source1_entity_id, cand_id, round(sn, 6) AS sn, round(sa, 6) AS sa, round(s_tot, 6) AS s_tot FROM wc")
 def weighted_candidates(spark, d):
     return rounded(retrieval.top_candidates(second_records(spark, d)))
 
 
+@query("""SELECT source1_entity_id, cand_id, rank_s1, round(s_tot / max(s_tot) OVER m, 6) AS ratio_best_s1, count(*) OVER m AS n_cand_s1, rank_b, round(s_tot / max(s_tot) OVER o, 6) AS ratio_best_b, count(*) OVER o AS n_s1_for_b,
+  round(max(s_tot) OVER o - coalesce(max(s_tot) FILTER (rank_b = 2) OVER o, 0), 6) AS gap_b, s1_name_dup FROM (
+  SELECT *, row_number() OVER (PARTITION BY source1_entity_id, cand_id[1:2] ORDER BY t DESC, cand_id) AS rank_s1, row_number() OVER (PARTITION BY cand_id ORDER BY t DESC, source1_entity_id) AS rank_b FROM wc)
+  JOIN (SELECT entity_id AS source1_entity_id, count(*) OVER (PARTITION BY country, array_to_string(nt, ' ')) AS s1_name_dup FROM w2 WHERE entity_id LIKE 'S1-%') USING (source1_entity_id)
+  WINDOW m AS (PARTITION BY source1_entity_id, cand_id[1:2]), o AS (PARTITION BY cand_id)""")
+def competition_ranks(spark, d):
+    own = second_records(spark, d)
+    out = retrieval.competition(retrieval.top_candidates(own), own)
+    return rounded(out.select("source1_entity_id", "cand_id", "rank_s1", "ratio_best_s1", "n_cand_s1", "rank_b", "ratio_best_b", "n_s1_for_b", "gap_b", "s1_name_dup"))
+
+
+for _name in ("weighted_candidates", "competition_ranks"):
+    SQL[_name] = SQL[_name].replace(_CTES, f"{_CTES}, {_second_sql()}\n")
+
+
 @query()
 def competition_features(spark, d):
     own = second_records(spark, d)
