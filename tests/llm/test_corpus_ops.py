@@ -683,3 +683,58 @@ def test_benchmark_items_without_id(spark, block):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {1: (4, 1, digest(""), True), 2: (6, 2, digest("7"), True), 3: (0, 0, digest(""), False)}
     assert [r.doc_id for r in decontam.clean(docs, bench, window=3, block_windows=block).collect()] == [3]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Labels that certify a cutoff, shared lines, near copies, repeated ids and rows, nulls, a benchmark passage."""
+    import corpus_pipeline
+
+    rnd = random.Random(51)
+    item = words_text(rnd, 14)
+    rows, labels, bad = [], [], set()
+    for i in range(800):
+        text = words_text(rnd, 30)
+        if i % 5 == 0:
+            text, _ = " ".join(w + "###" for w in text.split()), bad.add(i)
+        rows.append((i, text))
+        labels.append((i, int(i % 5 > 0), 0))
+    rows += [(900 + i, words_text(rnd, 24) + "\n Shared LINE here\t\n" + words_text(rnd, 12)) for i in range(12)]
+    rows += [(950 + i, rows[1 + 5 * i][1] + f" tail{i}") for i in range(6)] + [(970, rows[2][1]), (3, rows[4][1] + " more"), (3, rows[3][1]), (None, rows[6][1])]
+    rows += [(980, words_text(rnd, 22) + " " + item), (981, None), (982, ""), (983, "few words"), (984, words_text(rnd, 3) + " again and again" * 30)]
+    rnd.shuffle(rows)
+    extra = "doc_id long, text string, lang string, source string, n_chars long, component string, hit string, h string"
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), "c", "x", "y") for i, t in rows], extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(i, t) for i, t in rows if (q := _quality_truth(t)) and q[0] >= 20 and 100 * q[4] <= 30 * q[0] and i not in bad]
+    key = lambda s: s.strip(" \t\r\x0b\x0c").lower()
+    held = defaultdict(set)
+    for k, (_, t) in enumerate(left):
+        for line in t.split("\n"):
+            held[key(line)].add(k)
+    left = [(i, "\n".join(x for x in t.split("\n") if not key(x) or len(held[key(x)]) < 10)) for i, t in left]
+    words = [t.lower().split() for _, t in left]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    least = list(range(len(left)))  # components by repeated relabelling
+    near = [(a, b) for a in range(len(left)) for b in range(a) if left[a][0] is not None and left[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(len(left)):
+        before = list(least)
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    first = {}
+    for (i, _), c in zip(left, least, strict=True):
+        if i is not None:
+            first[c] = min(i, first.get(c, i))
+    left = [(i, t) for (i, t), c in zip(left, least, strict=True) if i is None or first[c] == i]
+    hit = {(r[0], k) for k, r in enumerate(left) if _contamination_truth([r], [(1, item)], 10)[0][5]}
+    left = [r for k, r in enumerate(left) if (r[0], k) not in hit]
+    got = sorted(((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in left), key=repr)
+    assert len(hit) == 1 and 640 < len(left) < 670
+    own = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, own, str(tmp_path))
+        assert out.count() == 0 and (stage is corpus_pipeline.STAGES[-1][1] or out.columns == docs.columns)
