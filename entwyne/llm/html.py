@@ -10,7 +10,8 @@
    notices, adverts, footers): covered runs on it are removed, unique runs stay.
 4. Inside an article or main element, copies of an article and quotations are no boilerplate. A substring counts there by
    the distinct texts it stands in, told by the heads of the three longest other blocks of the page, so that copies count
-   once; and only where such substrings cover nearly all of a block are they removed.
+   once; it must also stand on ``SITE_SHARE`` of the host's pages, as a line that some articles have in common is their own;
+   and only where such substrings cover nearly all of a block are they removed.
 5. Elements that are no article by their meaning are left out: nav, footer, aside and the like, roles, and classes or ids
    all of whose parts say so; a form, unless it wraps most of the page's words. Where a page has an article or main
    element, so is what stands outside it. This also serves hosts with too few pages to compare.
@@ -46,8 +47,9 @@ from entwyne.llm.linedup import SEGMENT, slots_for
 GROUP_PAGES, GROUP_CHARS, DEPTH = 128, 8_000_000, 8
 #: Distinct pages, or inside content distinct texts, that must hold a substring.
 MANY_PAGES, LEAST_PAGES = 8, 3
-#: Share of a path's words that makes it template; share of a block of content that must be covered; words of a head.
-TEMPLATE_SHARE, CONTENT_SHARE, HEAD = 0.5, 0.8, 6
+#: Share of a path's words that makes it template; share of a block of content that must be covered, and of the host's pages
+#: that must hold what covers it; words of a head.
+TEMPLATE_SHARE, CONTENT_SHARE, SITE_SHARE, HEAD = 0.5, 0.8, 0.25, 6
 #: Boilerplate substrings of large hosts held at a time (8 bytes each); with more, hosts are taken in several turns.
 BROADCAST_WINDOWS, SLOTS_PER_PAGE, HELD_OCCURRENCES = 2_000_000, 512, 1_000_000
 #: Hosts of several groups that are sent to all executors (some 100 bytes each); more are joined by a shuffle.
@@ -206,14 +208,17 @@ def suffix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _cover(rank: np.ndarray, label: np.ndarray, least: int, depth: int) -> np.ndarray:
-    """Which tokens lie in a prefix that ``least`` distinct labels hold; negative labels don't count."""
-    n = len(rank)
+def _held(rank: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of each suffix how many distinct labels hold its prefix; negative labels don't count."""
     order = np.lexsort((label, rank))
     r, p = rank[order], label[order]
     first = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]) & (p >= 0)
-    holders = np.bincount(r, weights=first, minlength=int(r[-1]) + 1)
-    return _spread(holders[rank] >= least, n, depth)
+    return np.bincount(r, weights=first, minlength=int(r[-1]) + 1)[rank]
+
+
+def _cover(rank: np.ndarray, label: np.ndarray, least: int, depth: int) -> np.ndarray:
+    """Which tokens lie in a prefix that ``least`` distinct labels hold."""
+    return _spread(_held(rank, label) >= least, len(rank), depth)
 
 
 def _spread(starts: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
@@ -296,8 +301,11 @@ def extract(pages: list[str | None]) -> list[str]:
         rank = suffix_ranks(np.array(ids, np.int64), DEPTH)
         least = min(MANY_PAGES, max(LEAST_PAGES, -(-len(same) // 2)))
         covered = _cover(rank, np.array(page, np.int64), least, DEPTH)
-        for label in np.concatenate([np.pad(around(bs), ((0, 0), (0, 1)), constant_values=-1) for bs in own], axis=1):
-            inside |= _cover(rank, label, least, DEPTH)
+        labels = np.concatenate([np.pad(around(bs), ((0, 0), (0, 1)), constant_values=-1) for bs in own], axis=1)
+        sites = np.repeat(np.arange(len(own)), [sum(b.n for b in bs) + 1 for bs in own])
+        wide = _held(rank, np.where((labels >= 0).any(axis=0), sites, -1)) >= SITE_SHARE * len(own)
+        for label in labels:
+            inside |= _spread((_held(rank, label) >= least) & wide, n, DEPTH)
     places, at = [], 0
     hit, total = defaultdict(int), defaultdict(int)
     for bs in own:
@@ -343,7 +351,7 @@ def digests(own: list[Block], host: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-_PARSED = "page_id long, url string, host long, least int, page long, plain boolean, texts array<string>, paths array<string>, flags array<tinyint>"
+_PARSED = "page_id long, url string, host long, least int, sites long, page long, plain boolean, texts array<string>, paths array<string>, flags array<tinyint>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,10 +361,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             htmls = part.column("html").to_pylist()
             own = [blocks(h) for h in htmls]
             yield pa.RecordBatch.from_arrays([
-                *[part.column(c) for c in ("page_id", "url", "host", "least")], pa.array([xxhash.xxh3_64_intdigest(h or "") >> 1 for h in htmls], pa.int64()), pa.array([not _has_content(bs) for bs in own], pa.bool_()),
+                *[part.column(c) for c in ("page_id", "url", "host", "least", "sites")], pa.array([xxhash.xxh3_64_intdigest(h or "") >> 1 for h in htmls], pa.int64()), pa.array([not _has_content(bs) for bs in own], pa.bool_()),
                 pa.array([[b.text for b in bs] for bs in own], pa.list_(pa.string())), pa.array([[b.path for b in bs] for bs in own], pa.list_(pa.string())),
                 pa.array([[b.content + 2 * b.no_content for b in bs] for bs in own], pa.list_(pa.int8())),
-            ], ["page_id", "url", "host", "least", "page", "plain", "texts", "paths", "flags"])
+            ], ["page_id", "url", "host", "least", "sites", "page", "plain", "texts", "paths", "flags"])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -414,32 +422,42 @@ def _frequent(pages: DataFrame, slots: int) -> bytes:
     return bytes(out)
 
 
+_MET = "host long, w long, kind byte, label long"
+#: Kinds of rows that substrings are counted by: distinct pages, distinct texts by three heads, number of pages in content.
+_PAGE, _SITES = 0, 4
+
+
 def _reduced(held: list[np.ndarray]) -> pa.RecordBatch:
-    """Of each substring the distinct pages and texts, as many as a bound can ask for."""
-    w, kind, label, host, least = np.concatenate(held, axis=1)
+    """Of each substring the distinct pages and texts, as many as a bound can ask for, and on how many pages it is content."""
+    w, kind, label, host = np.concatenate(held, axis=1)
     order = np.lexsort((label, kind, w))
-    w, kind, label, host, least = (x[order] for x in (w, kind, label, host, least))
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (kind[1:] != kind[:-1])]) if len(w) else np.zeros(0, bool)
+    w, kind, label, host = (x[order] for x in (w, kind, label, host))
+    new = np.concatenate([[True], (w[1:] != w[:-1]) | (kind[1:] != kind[:-1])])
     fresh = new.copy()
     fresh[1:] |= label[1:] != label[:-1]
     nth = np.cumsum(fresh)
-    keep = fresh & (nth - np.maximum.accumulate(np.where(new, nth, 0)) < MANY_PAGES)
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (host, least, w, kind, label)], ["host", "least", "w", "kind", "label"])
+    keep = np.where(kind == _SITES, new, fresh & (nth - np.maximum.accumulate(np.where(new, nth, 0)) < MANY_PAGES))
+    start = np.flatnonzero(new)
+    label[start] = np.where(kind[start] == _SITES, np.add.reduceat((kind == _SITES).astype(np.int64), start), label[start])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (host, w, kind.astype(np.int8), label)], ["host", "w", "kind", "label"])
 
 
 def _occurrences(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, n = np.frombuffer(filter_.value, np.uint8), [], 0
         for _, rows in _pages(batches):
-            for host, least, page, own, w in rows:
+            for host, _, page, own, w in rows:
                 place = _place(w, 8 * len(seen))
                 hit = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 if not len(hit):
                     continue
                 labels = np.concatenate([np.full((1, len(hit)), page), around(own)[:, hit]])
                 kind, at = np.nonzero(labels >= 0)
-                held.append(np.stack([w[hit][at], kind, labels[kind, at], np.full(len(at), host), np.full(len(at), least)]))
-                n += len(at)
+                content = np.unique(w[hit][(labels[1:] >= 0).any(axis=0)])
+                held.append(np.stack([w[hit][at], kind, labels[kind, at], np.full(len(at), host)]))
+                fixed = np.array([[_SITES], [0], [host]], np.int64).repeat(len(content), axis=1)
+                held.append(np.concatenate([content[None], fixed]))
+                n += len(at) + len(content)
             if n >= HELD_OCCURRENCES:
                 yield _reduced(held)
                 held, n = [], 0
@@ -485,11 +503,18 @@ def _texts(known, template):
 def _large_hosts(rows: DataFrame, n_hosts: int, n_pages: int, windows: int) -> Iterator[DataFrame]:
     """Main texts of the pages of large hosts, in one turn or more."""
     context = rows.sparkSession.sparkContext
-    parsed = materialise(rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"), "least").mapInArrow(_parse, _PARSED), "parsed", compression="zstd")
+    parsed = materialise(rows.select("page_id", "url", "html", F.xxhash64("host").alias("host"), "least", "sites").mapInArrow(_parse, _PARSED), "parsed", compression="zstd")
     filter_ = context.broadcast(_frequent(parsed, slots_for(n_pages, SLOTS_PER_PAGE)))
-    met = parsed.mapInArrow(_occurrences(filter_), "host long, least long, w long, kind long, label long")
-    counted = met.groupBy("host", "w", "kind", "least").agg(F.count_distinct("label").alias("n")).where("n >= least")
-    counted = materialise(counted.groupBy("host", "w").agg(F.min("kind").alias("kind"), (F.max("kind") > 0).alias("inside")).select("host", "w", (F.col("kind") == 0).alias("any"), "inside"), "windows")
+    # A task has few rows of a substring and kind, so sets of them are small, and one shuffle brings them together.
+    met = parsed.mapInArrow(_occurrences(filter_), _MET).groupBy("host", "w", "kind")
+    met = met.agg(F.size(F.collect_set("label")).alias("n"), F.sum(F.when(F.col("kind") == _SITES, F.col("label")).otherwise(F.lit(0))).alias("total"))
+    bounds = parsed.select("host", "least", "sites").distinct()
+    met = met.join(F.broadcast(bounds) if n_hosts <= BROADCAST_HOSTS else bounds, "host")
+    kind, enough = F.col("kind"), F.col("n") >= F.col("least")
+    holds = lambda which, good: F.coalesce(F.max(F.when(which, good)), F.lit(False))
+    inside = holds(kind.between(1, 3), enough) & holds(kind == _SITES, F.col("total") >= SITE_SHARE * F.col("sites"))
+    counted = met.groupBy("host", "w").agg(holds(kind == _PAGE, enough).alias("any"), inside.alias("inside")).where(F.col("any") | F.col("inside"))
+    counted = materialise(counted, "windows")
     turns = max(1, -(-counted.count() // windows), -(-n_hosts // HOSTS_PER_TURN))
     turn = F.pmod(F.xxhash64("host"), F.lit(turns))
     for k in range(turns):
@@ -521,7 +546,7 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES, broadcast_hosts:
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
     sizes = materialise(sizes.where((F.col("n") > group_pages) | (F.col("chars") > GROUP_CHARS)), "hosts")
     n_hosts, n_pages = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    large = sizes.select("host", F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / 2))).cast("int").alias("least"))
+    large = sizes.select("host", F.least(F.lit(MANY_PAGES), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / 2))).cast("int").alias("least"), F.col("rows").alias("sites"))
     large = F.broadcast(large) if n_hosts <= broadcast_hosts else large
     out = (rows.join(large, "host", "left_anti") if n_hosts else rows).select("page_id", "url", "html", "host").groupBy("host").applyInArrow(_group, _RESULT)
     for own in _large_hosts(rows.join(large, "host"), n_hosts, n_pages, windows) if n_hosts else ():

@@ -543,16 +543,17 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 
 def _article_pages(n):
-    """Distinct articles with a notice in each eighth of them; copies of one story; a quotation in few."""
+    """Distinct articles with a notice in each third of them; a line that each ninth has; copies of one story; a quotation."""
     rnd = random.Random(21)
     notice = "Read all about our new reader offer today and save a lot"
     story = [words_text(rnd, 30) for _ in range(3)]
     quote = "it was the best of times it was the worst of times"
+    line = "this text may be passed on by anyone who names where it stood first"
     rows, want = [], []
     for i in range(n):
         own = story if i % 10 == 9 else [words_text(rnd, 30), words_text(rnd, 20)]
-        body = own + ([quote] if i % 64 == 1 else [])
-        rows.append((i, "https://host.example/a", "<article>" + "".join(f"<p>{p}</p>" for p in [*body[:1], *([notice] if i % 8 == 0 else []), *body[1:]]) + "</article>"))
+        body = own + ([quote] if i % 64 == 1 else []) + ([line] if i % 9 == 1 else [])
+        rows.append((i, "https://host.example/a", "<article>" + "".join(f"<p>{p}</p>" for p in [*body[:1], *([notice] if i % 3 == 0 else []), *body[1:]]) + "</article>"))
         want.append((i, "\n".join(body)))
     return rows, want
 
@@ -604,7 +605,7 @@ def test_hosts_against_brute_force(spark, monkeypatch, chars):
         own = [(i, html.blocks(h)) for i, u, h in rows if f"//h{n}." in u]
         texts = {h for _, u, h in rows if f"//h{n}." in u}
         least = min(8, max(3, -(-len(texts) // 2)))
-        holders, tellers = defaultdict(set), defaultdict(lambda: [set(), set(), set()])
+        holders, tellers, sites = defaultdict(set), defaultdict(lambda: [set(), set(), set()]), defaultdict(set)
         for i, bs in own:
             words, around = [w for b in bs for w in b.words], html.around(bs)
             for k in range(len(words) - 7):
@@ -612,6 +613,7 @@ def test_hosts_against_brute_force(spark, monkeypatch, chars):
                 for j in range(3):
                     if around[j, k] >= 0:
                         tellers[tuple(words[k : k + 8])][j].add(around[j, k])
+                        sites[tuple(words[k : k + 8])].add(i)
         marks = {}
         for i, bs in own:
             words = [w for b in bs for w in b.words]
@@ -619,7 +621,7 @@ def test_hosts_against_brute_force(spark, monkeypatch, chars):
             for k in range(len(words) - 7):
                 key = tuple(words[k : k + 8])
                 marks[i][0][k : k + 8] |= len(holders[key]) >= least
-                marks[i][1][k : k + 8] |= max(map(len, tellers[key])) >= least
+                marks[i][1][k : k + 8] |= max(map(len, tellers[key])) >= least and len(sites[key]) >= 0.25 * len(own)
         hit, total = defaultdict(int), defaultdict(int)
         for i, bs in own:
             html._count_paths(bs, marks[i][0], hit, total)
