@@ -149,6 +149,14 @@ def test_matches_that_are_no_candidates_are_missed_without_a_cap(spark):
     assert (got[0].recall, got[0].ceiling) == (whole.pair_recall, pytest.approx(whole.ceiling))
 
 
+def test_recall_at_k_counts_only_candidates(spark):
+    pair = "source1_entity_id string, cand_id string"
+    ids, truth = spark.createDataFrame([("a",)], "source1_entity_id string"), spark.createDataFrame([("a", "S2-1"), ("a", "S3-9")], pair)
+    scored = spark.createDataFrame([("a", "S2-0", 0.5), ("a", "S2-1", 0.5)], f"{pair}, rr_score double")  # equal scores go by id; S3-9 is no candidate
+    got = {r.k: (r.recall, r.avg_candidates) for r in blocking.recall_at(scored, truth, ids, "rr_score", (1, 2, 0)).collect()}
+    assert got == {1: (0.0, 1.0), 2: (0.5, 2.0), 0: (0.5, 2.0)}
+
+
 def test_rules(spark):
     rows = [("a", "S2-1", 0.9, 0.1), ("a", "S3-1", 0.86, 0.9), ("a", "S2-2", 0.3, 0.9), ("b", "S3-9", 0.4, 0.0), ("c", "S2-5", 0.7, 0.8)]
     df = spark.createDataFrame(rows, "source1_entity_id string, cand_id string, p double, rr_score double")
