@@ -1,8 +1,10 @@
 """The record-linkage engine: hand-worked cases, and every query against its SQL."""
 
+import math
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +239,26 @@ def test_second_normaliser(spark):
     assert retrieval.apply_lexicon(names, lexicon).first().name_n == "ram shop"
 
 
+def test_sums_of_weights_are_exact(spark):
+    rnd = random.Random(43)
+    words = [f"word{chr(97 + i)}{i}" for i in range(12)]
+    shuffled = lambda: " ".join(rnd.sample(words[:8], 8))
+    same = [(f"S{1 + i % 3}-{i}", "fr", shuffled(), shuffled()) for i in range(30)]  # equal but for the order of words
+    rest = [(f"S{1 + i % 3}-{i}", "fr", " ".join(rnd.sample(words, 5)), " ".join(rnd.sample(words, 5))) for i in range(30, 75)]
+    own = spark.createDataFrame(same + rest, "entity_id string, country string, name_n string, addr_n string")
+    keyed = [tuple(r) for r in retrieval.weighted_keys(own, 300).select("entity_id", "field", "key").collect()]
+    held = Counter(k for _, _, k in keyed)
+    weight = {r.n: r.w for r in spark.createDataFrame([(n,) for n in set(held.values())], "n long").select("n", F.pow(F.ln(len(same + rest) / F.col("n")), 2).alias("w")).collect()}
+    keys = {e: {(f, k) for x, f, k in keyed if x == e} for e in {x for x, _, _ in keyed}}
+    got = {(r.source1_entity_id, r.cand_id): r for r in retrieval.top_candidates(own, k=75).collect()}
+    assert len(got) > 1000
+    for (a, b), r in got.items():
+        shared = [(f, weight[held[k]]) for f, k in keys[a] & keys[b] if held[k] >= 2]
+        assert (r.sn, r.sa, r.s_tot) == (math.fsum(w for f, w in shared if f == "n"), math.fsum(w for f, w in shared if f == "a"), math.fsum(w for _, w in shared))
+    equal = {e for e, *_ in same}
+    assert len({r.s_tot for (a, b), r in got.items() if a in equal and b in equal}) == 1
+
+
 def test_features_model_and_stream(spark, tmp_path):
     rows = [(f"S1-{i}", f"firm number{i} alpha{i % 7}", f"{i} oak road", "us") for i in range(40)] + [(f"S2-{i}", f"firm number{i} alpha{i % 7}" + (" inc" if i % 2 else ""), f"{i} oak rd", "us") for i in range(40)]
     df = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
